@@ -108,7 +108,13 @@ def run_stats(
     numbers, and counts per baseline bucket.
     """
     facts = baseline_facts(baselines, scored.columns) if baselines is not None else None
-    cells, items = _cells(scored, baselines, facts, list(others), keys)
+    return _run_stats(scored, baselines, facts, list(others), keys)
+
+
+def _run_stats(
+    scored: DataFrame, baselines: DataFrame | None, facts: BaselineFacts | None, others: list[str], keys: list[str]
+) -> DataFrame:
+    cells, items = _cells(scored, baselines, facts, others, keys)
     per_item = cells.groupBy(*keys, "item").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("bucket") == _NULL, F.col("n")).otherwise(0)).alias("nulls"),
@@ -194,6 +200,7 @@ def dq_report(
     baselines: DataFrame,
     *,
     stored: DataFrame | None = None,
+    inspect: list[str] | None = None,
     keys: list[str] = RUN_KEYS,
     width: str = "month",
 ) -> DataFrame:
@@ -205,10 +212,13 @@ def dq_report(
     rows stay in. ``baselines`` has one row per model version and feature.
     ``stored`` are snapshots from earlier on, looked at for previous row counts.
 
-    Two small looks at ``manifest`` and ``baselines`` happen when this is called.
+    When this is called, ``baselines`` is looked at once, and so is ``manifest``
+    unless ``inspect`` names the columns that checks and prediction settings use.
     """
     facts = baseline_facts(baselines, scored.columns)
-    stats = run_stats(scored, baselines, inspected_columns(manifest, scored.columns), keys)
+    if inspect is None:
+        inspect = inspected_columns(manifest, scored.columns)
+    stats = _run_stats(scored, baselines, facts, [c for c in inspect if c in scored.columns], keys)
     runs = manifest.select(
         *keys, "recorded_at", "columns", "prediction_col", F.coalesce("checks", F.array()).alias("checks")
     )
@@ -266,7 +276,7 @@ def with_previous_count(runs: DataFrame, *, stored: DataFrame | None = None, wid
 def drift_by_run(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
     """PSI of every run and baseline feature that can be scored, one row each."""
     facts = baseline_facts(baselines, scored.columns)
-    stats = run_stats(scored, baselines, [], keys)
+    stats = _run_stats(scored, baselines, facts, [], keys)
     runs = lookup_join(stats, baseline_specs(baselines), MODEL_KEYS, "inner", small_bytes=facts.wide_bytes)
     here = F.array(*[F.lit(c) for c in scored.columns])
     scores = F.transform("baseline", lambda b: _feature_drift(b, F.col("stats"), here))
@@ -276,7 +286,7 @@ def drift_by_run(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_
 def bucket_shares(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
     """Count and share of every baseline bucket per run and feature, empty ones included."""
     facts = baseline_facts(baselines, scored.columns)
-    stats = run_stats(scored, baselines, [], keys)
+    stats = _run_stats(scored, baselines, facts, [], keys)
     runs = lookup_join(stats, baseline_specs(baselines), MODEL_KEYS, "inner", small_bytes=facts.wide_bytes)
 
     def shares(b: Column) -> Column:

@@ -18,7 +18,7 @@ RUN = ["tenant_id", "model_name", "run_id"]
 
 
 def _report(t: Tables) -> DataFrame:
-    return quality.dq_report(v.scored(t), v.run_manifest(t), v.baselines(t))
+    return quality.dq_report(v.scored(t), v.run_manifest(t), v.baselines(t), inspect=v.inspected())
 
 
 def drift_status(scored: DataFrame, baselines: DataFrame, models: DataFrame) -> DataFrame:
@@ -164,6 +164,17 @@ def _(t: Tables) -> DataFrame:
     return _report(t).select(*RUN, "max_psi")
 
 
+@query("d24_inspected_columns", views="check_results", sql="""
+    SELECT tenant_id, model_name, count(*) AS runs, min(error_rate) AS lowest, max(error_rate) AS highest
+    FROM error_rates GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    # here the columns to look at are found in the manifest itself
+    report = quality.dq_report(v.scored(t), v.run_manifest(t), v.baselines(t))
+    return report.groupBy("tenant_id", "model_name").agg(
+        F.count("*").alias("runs"), F.min("error_rate").alias("lowest"), F.max("error_rate").alias("highest")
+    )
+
+
 @query("d24_dq_report", views="reports", sql=r"""
     SELECT tenant_id, model_name, run_id, strftime(recorded_at, '%Y-%m-%d %H:%M:%S.%f') AS recorded_at, request_count, previous_row_count,
            0.0::DOUBLE AS avg_latency_ms, error_rate, drift_computation, metrics AS features, skipped, max_psi, dq_passed, failed

@@ -17,9 +17,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._open(name)
+        return self._opened[name]
+
+    def _open(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         stamps = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"}
         return df.withColumns(stamps) if stamps else df
@@ -34,18 +40,26 @@ def _pick(index: Column, *values: str | None) -> Column:
 
 
 def customers(t: Tables) -> DataFrame:
-    """Customers with nation and region."""
-    places = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return t["customer"].join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    """Customers with nation and region.
+
+    Nations and regions are 25 and 5 rows at every scale, so they are broadcast.
+    """
+    places = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t["customer"].join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", "c_mktsegment", "n_nationkey", "n_name", "r_regionkey", "r_name"
     )
 
 
+def placed_orders(t: Tables) -> DataFrame:
+    """Orders with their customer; both sides grow with the data, so neither is broadcast."""
+    return t["orders"].hint("merge").join(customers(t), F.col("o_custkey") == F.col("c_custkey"))
+
+
 def scored(t: Tables) -> DataFrame:
     """Scored rows: one run per region, segment and ship quarter."""
-    orders = t["orders"].select("o_orderkey", "o_custkey").join(customers(t), F.col("o_custkey") == F.col("c_custkey"))
+    orders = placed_orders(t).select("o_orderkey", "r_name", "c_mktsegment")
     quarter = _text(F.year("l_shipdate"), "-Q", F.quarter("l_shipdate"))
-    return t["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return t["lineitem"].hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("r_name").alias("tenant_id"), F.col("c_mktsegment").alias("model_name"), F.lit("1").alias("version"),
         _text("job-", F.col("r_name"), "-", F.col("c_mktsegment")).alias("job_id"), quarter.alias("run_id"),
         "l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_returnflag", "l_shipdate",
@@ -94,6 +108,12 @@ DEFAULT_CHECKS = [
 ]
 
 
+def inspected() -> list[str]:
+    """Columns the example checks and prediction settings name."""
+    named = {n for items in [*CHECKS.values(), DEFAULT_CHECKS] for n, kind, _ in items if kind == "null_rate"}
+    return sorted(named | {"prediction"})
+
+
 def _checks(items: list[tuple[str, str, float]]) -> Column:
     structs = [F.struct(F.lit(n).alias("name"), F.lit(k).alias("type"), F.lit(x).alias("threshold")) for n, k, x in items]
     return F.array(*structs) if structs else F.array().cast("array<struct<name:string,type:string,threshold:double>>")
@@ -150,7 +170,7 @@ def _snapshot_keys() -> list[Column]:
 
 def snapshots(t: Tables) -> DataFrame:
     """Snapshots per region, segment and order quarter, from plain sums."""
-    orders = t["orders"].join(customers(t), F.col("o_custkey") == F.col("c_custkey")).select(
+    orders = placed_orders(t).select(
         F.col("r_name").alias("tenant_id"), F.col("c_mktsegment").alias("model_name"), "o_orderkey",
         F.date_trunc("quarter", "o_orderdate").alias("q"),
     )
@@ -184,7 +204,7 @@ def duplicated_snapshots(t: Tables) -> DataFrame:
 def pipelines(t: Tables) -> DataFrame:
     """One definition per nation and order priority; some nations have none."""
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
-    base = t["orders"].join(customers(t), F.col("o_custkey") == F.col("c_custkey")).filter("n_nationkey % 7 <> 0").select(
+    base = placed_orders(t).filter("n_nationkey % 7 <> 0").select(
         "r_name", "n_nationkey", "n_name", digit.alias("d")
     ).distinct()
     n, d = F.col("n_nationkey"), F.col("d")
@@ -231,7 +251,7 @@ def jobs(t: Tables) -> DataFrame:
                 F.when(o % 9 != 0, F.col("c_mktsegment")).alias("model_name"), (o % 3).cast("string").alias("model_version")
             ).alias("config"),
         ))
-    return t["orders"].join(customers(t), F.col("o_custkey") == F.col("c_custkey")).select(
+    return placed_orders(t).select(
         F.col("r_name").alias("tenant_id"), _text("job-", o).alias("job_id"),
         _text("pl-", F.col("n_nationkey"), "-", F.substring("o_orderpriority", 1, 1)).alias("pipeline_id"),
         status.alias("status"), _pick(o % 3, "production", "staging", None).alias("run_environment"),

@@ -60,6 +60,11 @@ def proportions(counts: Column, buckets: Column, total: Column) -> Column:
     )
 
 
+def may_be_number(data_type: T.DataType) -> bool:
+    """Whether values of a type can count as numbers at all."""
+    return isinstance(data_type, (T.NumericType, T.BooleanType, T.StringType))
+
+
 def as_number(column: Column, data_type: T.DataType) -> Column:
     """``column`` as double, NULL where it is not a number.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.functions.drift import as_number, baseline_errors, bucketize, proportions, psi
+from scorewatch.functions.drift import as_number, baseline_errors, bucketize, may_be_number, proportions, psi
 from scorewatch.operators.lookup import lookup_join
 from scorewatch.operators.ordered import with_last
 from scorewatch.values import MODEL_KEYS, RUN_KEYS
@@ -68,13 +68,17 @@ def _cells(
 ) -> tuple[DataFrame, list[str]]:
     """Counts per (run, item, bucket) and the names of the numbered items."""
     types = {f.name: f.dataType for f in scored.schema.fields}
-    features = facts.features if facts else []
+    # types that never count as numbers need not be read: the report skips them anyway
+    features = [f for f in facts.features if may_be_number(types[f])] if facts else []
     items = [*features, *[c for c in others if c not in features]]
     rows = scored.select(*keys, *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(items)])
 
     if features:
-        edges = [F.max(F.when(F.col("feature") == f, F.col("bins"))).alias(f"__b{i}") for i, f in enumerate(features)]
-        wide = baselines.filter(F.col("feature").isin(features)).groupBy(*MODEL_KEYS).agg(*edges)
+        # one column of edges per feature, so that each row is joined once
+        def edges(f: str) -> Column:
+            return F.get(F.filter("baseline", lambda b: b["feature"] == f), F.lit(0))["bins"]
+
+        wide = baseline_specs(baselines).select(*MODEL_KEYS, *[edges(f).alias(f"__b{i}") for i, f in enumerate(features)])
         rows = lookup_join(rows, wide, MODEL_KEYS, small_bytes=facts.wide_bytes)
 
     def bucket(i: int) -> Column:
@@ -115,7 +119,8 @@ def _run_stats(
     scored: DataFrame, baselines: DataFrame | None, facts: BaselineFacts | None, others: list[str], keys: list[str]
 ) -> DataFrame:
     cells, items = _cells(scored, baselines, facts, others, keys)
-    per_item = cells.groupBy(*keys, "item").agg(
+    # from here on everything about a run stays in one partition: a run has few cells
+    per_item = cells.repartition(*keys).groupBy(*keys, "item").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("bucket") == _NULL, F.col("n")).otherwise(0)).alias("nulls"),
         F.sum(F.when(F.col("bucket") == _NOT_A_NUMBER, F.col("n")).otherwise(0)).alias("not_numbers"),

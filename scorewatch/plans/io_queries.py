@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewatch.operators import audit as audit_log
+from scorewatch.operators.lookup import lookup_join
 from scorewatch.plans import views as v
 from scorewatch.plans.registry import iso, query
 from scorewatch.plans.views import Tables
@@ -197,4 +198,4 @@ def _(t: Tables) -> DataFrame:
 
 
 def _scored_of(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
-    return spark.read.parquet(path).join(batch.select(*RUN_KEYS), RUN_KEYS, "left_semi")
+    return lookup_join(spark.read.parquet(path), batch.select(*RUN_KEYS), RUN_KEYS, "left_semi")

@@ -37,9 +37,14 @@ def stream_snapshots(
         runs = batch.dropDuplicates(RUN_KEYS)
         if stored is not None:
             runs = runs.join(stored.select(*RUN_KEYS), RUN_KEYS, "left_anti")
-            stored = stored.join(runs.select(*MODEL_KEYS).distinct(), MODEL_KEYS, "left_semi")
-        report = dq_report(read_scored(runs), runs, baselines, stored=stored)
-        record_snapshots(build_snapshots(report, models), store)
+        runs = runs.persist()
+        try:
+            if stored is not None:
+                stored = stored.join(runs.select(*MODEL_KEYS).distinct(), MODEL_KEYS, "left_semi")
+            report = dq_report(read_scored(runs), runs, baselines, stored=stored)
+            record_snapshots(build_snapshots(report, models), store)
+        finally:
+            runs.unpersist()
 
     return (
         manifests.writeStream.foreachBatch(take_in)

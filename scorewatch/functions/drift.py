@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from scorewatch.values import PROPORTION_SUM_RANGE, PSI_FLOOR
 
 # Up to this many edges the bucket is found by plain comparisons, which stay
-# inside generated code; a lambda over the array is about six times slower.
-UNROLL_EDGES = 64
+# inside generated code; a lambda over the array is slower, but has no limit.
+UNROLL_EDGES = 32
 
 # Text that counts as a number: digits may be grouped by "_", no "d" / "f"
 # suffix, no hexadecimal.

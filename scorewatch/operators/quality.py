@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewatch.functions.drift import as_number, baseline_errors, bucketize, may_be_number, proportions, psi
 from scorewatch.operators.lookup import lookup_join
 from scorewatch.operators.ordered import with_last
 from scorewatch.values import MODEL_KEYS, RUN_KEYS
 
-_NULL, _NOT_A_NUMBER = -1, -2
+_NULL = -1
 
 
 @dataclass(frozen=True)
@@ -63,40 +64,57 @@ def null_fraction(nulls: Column, rows: Column) -> Column:
     return F.when(rows == 0, 0.0).otherwise(nulls / rows)
 
 
+@dataclass(frozen=True)
+class Item:
+    """One value per row that is put in a bucket: a feature's number, or presence only."""
+
+    column: str
+    feature: bool
+    presence: bool
+
+
+def _items(features: list[str], others: list[str], types: dict[str, T.DataType]) -> list[Item]:
+    """What to count: numbers of features, and presence where a number does not tell."""
+    items = [Item(f, True, False) for f in features]
+    # text may be there without being a number
+    items += [Item(f, False, True) for f in features if isinstance(types[f], T.StringType)]
+    return items + [Item(c, False, False) for c in others if c not in features]
+
+
 def _cells(
     scored: DataFrame, baselines: DataFrame | None, facts: BaselineFacts | None, others: list[str], keys: list[str]
-) -> tuple[DataFrame, list[str]]:
-    """Counts per (run, item, bucket) and the names of the numbered items."""
+) -> tuple[DataFrame, list[Item]]:
+    """Counts per (run, item, bucket) and the numbered items.
+
+    All items of a row become one array of doubles, taken apart before bucketing,
+    so the generated code stays small however many columns are inspected. (Code
+    per column soon exceeds what the JVM compiles, and runs ten times slower.)
+    """
     types = {f.name: f.dataType for f in scored.schema.fields}
     # types that never count as numbers need not be read: the report skips them anyway
     features = [f for f in facts.features if may_be_number(types[f])] if facts else []
-    items = [*features, *[c for c in others if c not in features]]
-    rows = scored.select(*keys, *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(items)])
+    items = _items(features, others, types)
+
+    def value(item: Item) -> Column:
+        column = F.col(f"`{item.column}`")
+        return as_number(column, types[item.column]) if item.feature else F.when(column.isNotNull(), 0.0)
 
+    values = F.array(*[value(i) for i in items] or [F.lit(0.0)])
+    rows, bucket = scored.select(*keys, values.alias("__values")), F.lit(0)
     if features:
-        # one column of edges per feature, so that each row is joined once
-        def edges(f: str) -> Column:
-            return F.get(F.filter("baseline", lambda b: b["feature"] == f), F.lit(0))["bins"]
+        def edges(item: Item) -> Column:
+            if not item.feature:
+                return F.lit(None).cast("array<double>")
+            return F.get(F.filter("baseline", lambda b: b["feature"] == item.column), F.lit(0))["bins"]
 
-        wide = baseline_specs(baselines).select(*MODEL_KEYS, *[edges(f).alias(f"__b{i}") for i, f in enumerate(features)])
+        wide = baseline_specs(baselines).select(*MODEL_KEYS, F.array(*[edges(i) for i in items]).alias("__edges"))
         rows = lookup_join(rows, wide, MODEL_KEYS, small_bytes=facts.wide_bytes)
-
-    def bucket(i: int) -> Column:
-        value = F.col(f"__v{i}")
-        found = F.lit(0)
-        if i < len(features):
-            number, bins = as_number(value, types[items[i]]), F.col(f"__b{i}")
-            found = (
-                F.when(number.isNull(), _NOT_A_NUMBER)
-                .when(F.size(bins) >= 2, bucketize(number, bins, facts.max_edges))
-                .otherwise(0)
-            )
-        return F.when(value.isNull(), _NULL).otherwise(found).cast("int")
-
-    cells = [F.struct(F.lit(i).alias("item"), bucket(i).alias("bucket")) for i in range(len(items))]
-    if not cells:
-        cells = [F.struct(F.lit(-1).alias("item"), F.lit(0).alias("bucket"))]
-    counted = rows.select(*keys, F.inline(F.array(*cells))).groupBy(*keys, "item", "bucket").agg(F.count("*").alias("n"))
+        bucket = F.coalesce(bucketize(F.col("value"), F.get("__edges", F.col("item")), facts.max_edges), F.lit(0))
+    counted = (
+        rows.select("*", F.posexplode("__values").alias("item", "value"))
+        .select(*keys, "item", F.when(F.col("value").isNull(), _NULL).otherwise(bucket).alias("bucket"))
+        .groupBy(*keys, "item", "bucket").agg(F.count("*").alias("n"))
+    )
     return counted, items
 
 
@@ -119,16 +137,28 @@ def _run_stats(
     scored: DataFrame, baselines: DataFrame | None, facts: BaselineFacts | None, others: list[str], keys: list[str]
 ) -> DataFrame:
     cells, items = _cells(scored, baselines, facts, others, keys)
+    presence = F.get(F.array(*[F.lit(i.presence) for i in items] or [F.lit(False)]), F.col("item"))
+    column = F.get(F.array(*[F.lit(i.column) for i in items] or [F.lit("")]), F.col("item"))
+    main, empty = ~F.col("presence"), F.col("bucket") == _NULL
+
+    def counted(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
     # from here on everything about a run stays in one partition: a run has few cells
-    per_item = cells.repartition(*keys).groupBy(*keys, "item").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("bucket") == _NULL, F.col("n")).otherwise(0)).alias("nulls"),
-        F.sum(F.when(F.col("bucket") == _NOT_A_NUMBER, F.col("n")).otherwise(0)).alias("not_numbers"),
-        F.map_from_entries(F.collect_list(F.when(F.col("bucket") >= 0, F.struct("bucket", "n")))).alias("buckets"),
+    per_column = cells.repartition(*keys).select(
+        *keys, "bucket", "n", column.alias("column"), presence.alias("presence")
+    ).groupBy(*keys, "column").agg(
+        counted(main).alias("rows"),
+        counted(main & empty).alias("without_number"),
+        F.max("presence").alias("text"),
+        counted(~main & empty).alias("absent"),
+        F.map_from_entries(F.collect_list(F.when(main & ~empty, F.struct("bucket", "n")))).alias("buckets"),
     )
-    name = F.get(F.array(*[F.lit(c) for c in items] or [F.lit("")]), F.greatest(F.col("item"), F.lit(0)))
-    entry = F.struct(name, F.struct("rows", "nulls", "not_numbers", "buckets"))
-    return per_item.groupBy(*keys).agg(
+    nulls = F.when(F.col("text"), F.col("absent")).otherwise(F.col("without_number"))
+    entry = F.struct("column", F.struct(
+        "rows", nulls.alias("nulls"), (F.col("without_number") - nulls).alias("not_numbers"), "buckets"
+    ))
+    return per_column.groupBy(*keys).agg(
         F.max("rows").alias("request_count"), F.map_from_entries(F.collect_list(entry)).alias("stats")
     )
 

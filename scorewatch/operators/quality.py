@@ -1,9 +1,9 @@
 """Quality and drift of scoring runs: all runs of all tenants in one plan.
 
-The scored table is read once. Every row gives one cell per inspected column:
-(run, column, bucket). Cells are counted before they are shuffled, so a run or
-tenant with a large part of all rows costs no more than any other. Everything
-after that works on one row per run.
+The scored table is read once and turned into counts per cell: (run, column,
+bucket). Cells are counted before they are shuffled, so a run or tenant with a
+large part of all rows costs no more than any other. Everything after that works
+on one row per run.
 """
 
 from __future__ import annotations
@@ -14,12 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewatch.functions.drift import as_number, baseline_errors, bucketize, may_be_number, proportions, psi
+from scorewatch.functions.drift import (
+    UNROLL_EDGES,
+    as_number,
+    baseline_errors,
+    bucketize,
+    may_be_number,
+    proportions,
+    psi,
+)
 from scorewatch.operators.lookup import lookup_join
 from scorewatch.operators.ordered import with_last
 from scorewatch.values import MODEL_KEYS, RUN_KEYS
 
 _NULL = -1
+# Counts kept in one aggregation; measured, see README.
+COUNTERS = 40
 
 
 @dataclass(frozen=True)
@@ -86,36 +96,76 @@ def _cells(
 ) -> tuple[DataFrame, list[Item]]:
     """Counts per (run, item, bucket) and the numbered items.
 
-    All items of a row become one array of doubles, taken apart before bucketing,
-    so the generated code stays small however many columns are inspected. (Code
-    per column soon exceeds what the JVM compiles, and runs ten times slower.)
+    All items of a row become one array of doubles, next to an array with the
+    inner edges of each item, so code and plan do not grow with the columns.
     """
     types = {f.name: f.dataType for f in scored.schema.fields}
     # types that never count as numbers need not be read: the report skips them anyway
     features = [f for f in facts.features if may_be_number(types[f])] if facts else []
     items = _items(features, others, types)
+    inner = max(facts.max_edges - 2, 0) if features else 0
 
     def value(item: Item) -> Column:
         column = F.col(f"`{item.column}`")
         return as_number(column, types[item.column]) if item.feature else F.when(column.isNotNull(), 0.0)
 
-    values = F.array(*[value(i) for i in items] or [F.lit(0.0)])
-    rows, bucket = scored.select(*keys, values.alias("__values")), F.lit(0)
-    if features:
-        def edges(item: Item) -> Column:
-            if not item.feature:
-                return F.lit(None).cast("array<double>")
-            return F.get(F.filter("baseline", lambda b: b["feature"] == item.column), F.lit(0))["bins"]
+    def edges(item: Item) -> Column:
+        if not item.feature:
+            return F.lit(None).cast("array<double>")
+        bins = F.array_sort(F.get(F.filter("baseline", lambda b: b["feature"] == item.column), F.lit(0))["bins"])
+        return F.when(F.size(bins) > 2, F.slice(bins, F.lit(2), F.size(bins) - 2))
 
+    rows = scored.select(*keys, F.array(*[value(i) for i in items] or [F.lit(0.0)]).alias("__values"))
+    if features:
         wide = baseline_specs(baselines).select(*MODEL_KEYS, F.array(*[edges(i) for i in items]).alias("__edges"))
         rows = lookup_join(rows, wide, MODEL_KEYS, small_bytes=facts.wide_bytes)
-        bucket = F.coalesce(bucketize(F.col("value"), F.get("__edges", F.col("item")), facts.max_edges), F.lit(0))
-    counted = (
+    else:
+        rows = rows.withColumn("__edges", F.lit(None).cast("array<array<double>>"))
+    count = _count_side_by_side if inner < UNROLL_EDGES else _count_one_by_one
+    return count(rows, keys, max(len(items), 1), inner), items
+
+
+def _count_side_by_side(rows: DataFrame, keys: list[str], items: int, inner: int) -> DataFrame:
+    """Cells by counting, for several items at once, the values that reach each inner edge.
+
+    One group update per row and about ``COUNTERS`` counts, instead of one per cell.
+    More counts in one aggregation exceed what the JVM compiles well, so the items
+    are dealt out in equal chunks and a row is repeated once per chunk.
+    """
+    slots = max(1, min(items, COUNTERS // (inner + 1)))
+    chunks = -(-items // slots)
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if chunks > 1 else F.lit(0)
+    dealt = rows.withColumn("chunk", chunk).select(
+        *keys, "chunk",
+        *[F.get("__values", F.col("chunk") * slots + s).alias(f"v{s}") for s in range(slots)],
+        *[F.get("__edges", F.col("chunk") * slots + s).alias(f"e{s}") for s in range(slots)],
+    )
+    reached = {
+        f"r{s}_{b}": F.count(F.when(F.get(f"e{s}", F.lit(b - 1)) <= F.col(f"v{s}"), True) if b else F.col(f"v{s}"))
+        for s in range(slots) for b in range(inner + 1)
+    }
+    counts = dealt.groupBy(*keys, "chunk").agg(F.count("*").alias("rows"), *[c.alias(n) for n, c in reached.items()])
+
+    def cell(s: int, bucket: int, n: Column) -> Column:
+        return F.struct((F.col("chunk") * slots + s).alias("item"), F.lit(bucket).alias("bucket"), n.alias("n"))
+
+    cells = []
+    for s in range(slots):
+        above = [F.col(f"r{s}_{b}") for b in range(inner + 1)] + [F.lit(0)]
+        cells.append(cell(s, _NULL, F.col("rows") - above[0]))
+        cells += [cell(s, b, above[b] - above[b + 1]) for b in range(inner + 1)]
+    return counts.select(*keys, F.inline(F.array(*cells))).filter((F.col("n") > 0) & (F.col("item") < items))
+
+
+def _count_one_by_one(rows: DataFrame, keys: list[str], items: int, inner: int) -> DataFrame:
+    """Cells by giving every value its bucket first; for baselines with many edges."""
+    edges, value = F.get("__edges", F.col("item")), F.col("value")
+    bucket = F.coalesce(F.size(F.filter(edges, lambda e: e <= value)), F.lit(0))
+    return (
         rows.select("*", F.posexplode("__values").alias("item", "value"))
-        .select(*keys, "item", F.when(F.col("value").isNull(), _NULL).otherwise(bucket).alias("bucket"))
+        .select(*keys, "item", F.when(value.isNull(), _NULL).otherwise(bucket).alias("bucket"))
         .groupBy(*keys, "item", "bucket").agg(F.count("*").alias("n"))
     )
-    return counted, items
 
 
 def run_stats(

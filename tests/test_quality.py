@@ -1,6 +1,8 @@
 """Hand-computed cases for counts, checks, drift and whole reports."""
 
+import bisect
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +203,23 @@ def test_validate_baselines(spark):
              ("sign", [0.0, 1.0, 2.0], [-0.5, 1.5]), ("sum", [0.0, 1.0, 2.0], [0.5, 0.6]), ("order", [0.0, 2.0, 1.0], [0.5, 0.5])]
     got = {r["feature"]: r["errors"] for r in quality.validate_baselines(baselines(spark, specs)).collect()}
     assert got["ok"] == [] and all(len(e) == 1 for f, e in got.items() if f != "ok")
+
+
+@pytest.mark.parametrize("features,edges", [(1, 3), (7, 5), (23, 11), (3, 40), (9, 2)])
+def test_cells_equal_a_count_by_hand(spark, features, edges):
+    """Both ways of counting, with several chunks of items, ends, NULLs and NaN."""
+    rng = random.Random(features)
+    cuts = {f"f{i}": sorted(rng.sample(range(100), edges - i % 2 if edges > 3 else edges)) for i in range(features)}
+    odd = [None, float("nan"), -5.0, 500.0]
+    rows = [tuple(rng.choice(odd) if rng.random() < 0.2 else float(rng.randrange(100)) for _ in cuts) for _ in range(200)]
+    df = scored(spark, ", ".join(f"{f} double" for f in cuts), rows)
+    base = baselines(spark, [(f, [float(x) for x in c], [1 / (len(c) - 1)] * (len(c) - 1)) for f, c in cuts.items()])
+    want = {}
+    for row in rows:
+        for (f, c), x in zip(cuts.items(), row):
+            if x is not None:
+                bucket = min(max(bisect.bisect_right(c, x) - 1, 0), len(c) - 2)
+                want[f, bucket] = want.get((f, bucket), 0) + 1
+    got = {(r["feature"], r["bucket"]): r["n"] for r in quality.bucket_shares(df, base).collect()}
+    assert {k: n for k, n in got.items() if n} == want
+    assert len(got) == sum(len(c) - 1 for c in cuts.values())

@@ -25,7 +25,14 @@ from scorewatch.functions.drift import (
 )
 from scorewatch.operators.lookup import lookup_join
 from scorewatch.operators.ordered import with_last
-from scorewatch.values import MODEL_KEYS, RUN_KEYS
+from scorewatch.values import (
+    MODEL_KEYS,
+    NOTE_COLUMN_ABSENT,
+    NOTE_COLUMNS_MISSING,
+    NOTE_FIRST_RUN,
+    NOTE_NO_BASELINE,
+    RUN_KEYS,
+)
 
 _NULL = -1
 # Counts kept in one aggregation; measured, see README.
@@ -256,11 +263,11 @@ def _check_result(check: Column, i: Column) -> Column:
         .otherwise(F.size(missing) / F.size(expected))
     )
     note = (
-        F.when(is_null_rate & ~present, F.concat(F.lit("column '"), name, F.lit("' not found in scoring output")))
-        .when(is_delta & previous.isNull(), "first run: no previous row count to compare")
+        F.when(is_null_rate & ~present, F.format_string(NOTE_COLUMN_ABSENT, name))
+        .when(is_delta & previous.isNull(), NOTE_FIRST_RUN)
         .when(is_null_rate | is_delta, F.lit(None).cast("string"))
-        .when(F.size(expected) == 0, "no baseline registered: no expected schema to compare")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing expected columns: "), F.array_join(missing, ", ")))
+        .when(F.size(expected) == 0, NOTE_NO_BASELINE)
+        .when(F.size(missing) > 0, F.format_string(NOTE_COLUMNS_MISSING, F.array_join(missing, "', '")))
     )
     return F.struct(
         name.alias("name"),

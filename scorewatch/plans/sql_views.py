@@ -100,10 +100,10 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM expected_columns GROUP BY ALL"""),
     "check_results": ("error_rates checks schema_gaps absent", """
         SELECT *, round(raw, 4) AS observed, raw <= threshold AS passed,
-               CASE WHEN gone THEN 'column ''' || shown || ''' not found in scoring output'
-                    WHEN type = 'row_count_delta' AND previous_row_count IS NULL THEN 'first run: no previous row count to compare'
-                    WHEN type = 'schema_match' AND expected IS NULL THEN 'no baseline registered: no expected schema to compare'
-                    WHEN type = 'schema_match' AND missing > 0 THEN 'missing expected columns: ' || names END AS note
+               CASE WHEN gone THEN 'column ''' || shown || ''' not found in scoring output — check fails'
+                    WHEN type = 'row_count_delta' AND previous_row_count IS NULL THEN 'first run — no previous row count to compare'
+                    WHEN type = 'schema_match' AND expected IS NULL THEN 'no drift baseline registered — no expected schema to compare'
+                    WHEN type = 'schema_match' AND missing > 0 THEN 'missing expected columns: [''' || replace(names, ', ', ''', ''') || ''']' END AS note
         FROM (SELECT *, CASE WHEN gone THEN 1.0
                              WHEN type = 'null_rate' AND request_count = 0 THEN 0.0
                              WHEN type = 'null_rate' AND shown = 'prediction' THEN null_predictions / request_count

@@ -72,3 +72,9 @@ TIME_UNITS = [
     ("minute", 60),
     ("second", 1),
 ]
+
+# Notes shown with a check's result.
+NOTE_COLUMN_ABSENT = "column '%s' not found in scoring output — check fails"
+NOTE_FIRST_RUN = "first run — no previous row count to compare"
+NOTE_NO_BASELINE = "no drift baseline registered — no expected schema to compare"
+NOTE_COLUMNS_MISSING = "missing expected columns: ['%s']"

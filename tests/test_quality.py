@@ -95,8 +95,9 @@ def test_schema_match(spark):
     specs = [("credit_score", [0.0, 1.0], [1.0]), ("annual_income", [0.0, 1.0], [1.0])]
     d = details(report(spark, df, [("schema", "schema_match", 0.0)], specs=specs))["schema"]
     assert (d["observed"], d["passed"]) == (0.5, False) and "annual_income" in d["note"]
+    assert d["note"] == "missing expected columns: ['annual_income']"
     d = details(report(spark, df, [("schema", "schema_match", 0.0)]))["schema"]
-    assert d["passed"] and "no baseline" in d["note"]
+    assert d["passed"] and "no drift baseline" in d["note"]
 
 
 def test_column_names_are_case_sensitive(spark):

@@ -119,9 +119,9 @@ def _(t: Tables) -> DataFrame:
     SELECT tenant_id, feature, v, greatest(0, least(len(bins) - 2, len(list_filter(bins, lambda b: b <= v)) - 1))::INTEGER AS bucket,
            count(*) AS n
     FROM feature_values JOIN baseline USING (tenant_id, model_name, version, feature)
-    WHERE feature <> 'l_extendedprice' GROUP BY ALL""")
+    GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    names = ["l_quantity", "l_discount"]
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
     wide = v.baselines(t).filter(F.col("feature").isin(names))
     values = v.scored(t).select(*MODEL_KEYS, F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in names

@@ -160,7 +160,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "duplicated": ("snapshots", """
         SELECT * FROM snapshots
         UNION ALL SELECT * REPLACE (recorded_at + INTERVAL 1 HOUR AS recorded_at, NOT dq_passed AS dq_passed)
-        FROM snapshots WHERE request_count % 3 = 0"""),
+        FROM snapshots"""),
     "definitions": ("cust", """
         SELECT r_name AS tenant_id, 'pl-' || n || '-' || d AS pipeline_id, n_name || ' ' || d AS name,
                ['draft', 'active', 'archived'][(n + d) % 3 + 1] AS status,
@@ -171,9 +171,9 @@ VIEWS: dict[str, tuple[str, str]] = {
                     ELSE ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][n % 5 + 1] END AS model_name,
                ['1', '2', '10', '3'][d % 4 + 1] AS model_version, n, d
         FROM (SELECT DISTINCT r_name, n_nationkey::INTEGER AS n, n_name, left(o_orderpriority, 1)::INTEGER AS d
-              FROM orders JOIN cust ON o_custkey = c_custkey WHERE n_nationkey % 7 <> 0)"""),
+              FROM orders JOIN cust ON o_custkey = c_custkey)"""),
     "jobs": ("cust", """
-        SELECT r_name AS tenant_id, 'job-' || o_orderkey AS job_id, 'pl-' || n_nationkey || '-' || left(o_orderpriority, 1) AS pipeline_id,
+        SELECT r_name AS tenant_id, 'job-' || o_orderkey AS job_id, CASE WHEN o_orderkey % 7 = 0 THEN 'pl-gone-' || o_orderkey ELSE 'pl-' || n_nationkey || '-' || left(o_orderpriority, 1) END AS pipeline_id,
                CASE WHEN o_orderkey % 20 < 4 THEN ['pending', 'awaiting_approval', 'cancelled', 'legacy'][o_orderkey % 20 + 1]
                     WHEN o_orderkey % 20 > 4 THEN CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'failed' END
                END AS status,

@@ -193,18 +193,18 @@ def snapshots_with_status(t: Tables) -> DataFrame:
 
 
 def duplicated_snapshots(t: Tables) -> DataFrame:
-    """Snapshots and, an hour later, a second one with the opposite verdict for a third of the runs."""
+    """Snapshots and, an hour later, a second one of each run with the opposite verdict."""
     first = snapshots(t)
-    second = first.filter("request_count % 3 = 0").withColumns({
+    second = first.withColumns({
         "recorded_at": F.col("recorded_at") + F.expr("INTERVAL 1 HOUR"), "dq_passed": ~F.col("dq_passed"),
     })
     return first.unionByName(second)
 
 
 def pipelines(t: Tables) -> DataFrame:
-    """One definition per nation and order priority; some nations have none."""
+    """One definition per nation and order priority."""
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
-    base = placed_orders(t).filter("n_nationkey % 7 <> 0").select(
+    base = placed_orders(t).select(
         "r_name", "n_nationkey", "n_name", digit.alias("d")
     ).distinct()
     n, d = F.col("n_nationkey"), F.col("d")
@@ -232,7 +232,7 @@ def pipelines(t: Tables) -> DataFrame:
 
 
 def jobs(t: Tables) -> DataFrame:
-    """One job per order with its five steps; the first ``k`` steps are done."""
+    """One job per order with its five steps, the first ``k`` done; some definitions are gone."""
     o, k = F.col("o_orderkey"), F.col("o_orderkey") % 6
     plain = F.col("o_orderstatus")
     by_order = F.when(plain == "F", "success").when(plain == "O", "running").otherwise("failed")
@@ -253,7 +253,9 @@ def jobs(t: Tables) -> DataFrame:
         ))
     return placed_orders(t).select(
         F.col("r_name").alias("tenant_id"), _text("job-", o).alias("job_id"),
-        _text("pl-", F.col("n_nationkey"), "-", F.substring("o_orderpriority", 1, 1)).alias("pipeline_id"),
+        F.when(o % 7 == 0, _text("pl-gone-", o)).otherwise(
+            _text("pl-", F.col("n_nationkey"), "-", F.substring("o_orderpriority", 1, 1))
+        ).alias("pipeline_id"),
         status.alias("status"), _pick(o % 3, "production", "staging", None).alias("run_environment"),
         submitted.alias("submitted_at"), F.array(*steps).alias("steps"),
     )

@@ -224,3 +224,13 @@ def test_cells_equal_a_count_by_hand(spark, features, edges):
     got = {(r["feature"], r["bucket"]): r["n"] for r in quality.bucket_shares(df, base).collect()}
     assert {k: n for k, n in got.items() if n} == want
     assert len(got) == sum(len(c) - 1 for c in cuts.values())
+
+
+def test_baselines_too_large_to_broadcast_give_the_same_report(spark, monkeypatch):
+    df = scored(spark, "a double, s string", [(float(i % 7), str(i % 5)) for i in range(300)] + [(None, "x")])
+    specs = [("a", [0.0, 2.0, 4.0, 7.0], [0.3, 0.3, 0.4]), ("s", [0.0, 2.0, 5.0], [0.5, 0.5])]
+    checks = [("s", "null_rate", 0.5), ("schema", "schema_match", 0.0)]
+    want = report(spark, df, checks, "a", specs)
+    monkeypatch.setitem(quality.lookup_join.__kwdefaults__, "limit", 0)
+    assert report(spark, df, checks, "a", specs) == want
+    assert want["drift_skipped"] == ["s"] and want["error_rate"] == round(1 / 301, 4)

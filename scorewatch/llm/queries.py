@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import bpe_codec, chat_format, packing, token_files
+from scorewatch.llm import bpe_codec, chat_format, packing, substring_dedup, token_files
 from scorewatch.llm.common import stored, table
 from scorewatch.session import scratch_path
 
@@ -80,3 +80,8 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_codec.ids_sha256("ids").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, folder, "documents"), window=50)

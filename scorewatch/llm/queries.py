@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import bpe_codec, chat_format, packing, substring_dedup, token_files
+from scorewatch.llm import bpe_codec, chat_format, ngram_join, packing, substring_dedup, token_files
 from scorewatch.llm.common import stored, table
 from scorewatch.session import scratch_path
 
@@ -85,3 +85,8 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, folder, "documents"), window=50)
+
+
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, folder, "documents"), k=5, percent=75)

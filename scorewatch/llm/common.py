@@ -13,6 +13,7 @@ from scorewatch.session import scratch_path
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHUNK_BYTES = 2 * 1024 * 1024
+CHUNK_ROWS = 1024
 
 
 def store(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
@@ -49,12 +50,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each; a longer text comes alone."""
+    """Slices of the batches with about ``limit`` bytes of text and few rows each; a longer text comes alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
-            if i > start and held + size > limit:
+            if i > start and (held + size > limit or i - start >= CHUNK_ROWS):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import bpe_codec, chat_format, ngram_join, packing, substring_dedup, token_files
+from scorewatch.llm import bpe_codec, chat_format, embedding_dedup, language_id, ngram_join, packing, quality_divergence, sharding, substring_dedup, token_files
 from scorewatch.llm.common import stored, table
 from scorewatch.session import scratch_path
 
@@ -90,3 +90,28 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, folder, "documents"), k=5, percent=75)
+
+
+@query
+def op2_distribution_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_divergence.judge(docs, quality_divergence.learn_references(docs))
+
+
+@query
+def op5_nearest_centroid_language(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    docs = table(spark, folder, "documents").withColumn("held_out", held_out)
+    model = language_id.learn(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs, model).withColumn("held_out", held_out)
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), threshold=0.9)
+
+
+@query
+def op6_best_fit_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(table(spark, folder, "documents"), shards=24).select(
+        "*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -16,8 +17,10 @@ _UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,;:!?]|\Z)| ?\S+|\s+(?!\S
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _SAFE_CUT = re.compile(r"(?<=[^\s']) (?=[^\s])")
 PIECE_CHARS = 1 << 18
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 250_000
 UNIT_CHARS = 64
+# A unit of letters alone is one item for the merges.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -32,47 +35,70 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-@functools.lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else one from 256 up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Encoder:
+    """A tokenizer file and the ids of words met lately: of the last ``MEMO_UNITS`` new ones and as many before."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        layout = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (layout["normalizer"] or {}).get("normalizers", [])]
+        splits = [p["type"] for p in layout["pre_tokenizer"].get("pretokenizers", [layout["pre_tokenizer"]])]
+        # the two layouts whose treatment of plain letters is known
+        self.lower = steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
+        self.plain = self.lower or (layout["normalizer"] is None and splits == ["ByteLevel"])
+
+    def new_ids(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units not met lately; words of letters go to the merges without further analysis."""
+        own, mixed, model = {}, [], self.tokenizer.model
+        for u in units:
+            if self.plain and _LETTERS.match(u):
+                word = u.lstrip(" ").lower() if self.lower else u
+                word = word.encode().decode("latin-1").translate(self.letters)
+                own[u] = np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+            else:
+                mixed.append(u)
+        if mixed:
+            encoded = self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)
+            own |= {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(mixed, encoded)}
+        return own
+
+    def piece(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        units = _UNIT.findall(text)
+        parts = list(map(self.young.get, units))
+        if None in parts:
+            missing = {u for u, p in zip(units, parts) if p is None}
+            own = {u: self.old[u] for u in missing if u in self.old}
+            own |= self.new_ids(missing.difference(own))
+            if len(self.young) + len(own) > MEMO_UNITS:
+                self.old, self.young = self.young, {}
+            self.young.update((u, ids) for u, ids in own.items() if len(u) <= UNIT_CHARS)
+            parts = [own[u] if p is None else p for u, p in zip(units, parts)]
+        return b"".join(parts)
+
+
+_encoder = functools.lru_cache(maxsize=4)(_Encoder)
 
 
 def encode(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids (unsigned 32 bits) of each text, without special tokens.
 
-    Equal words get equal ids, so each worker keeps those of up to ``MEMO_UNITS``
-    words and encodes only new ones. The result is that of encoding the whole text.
+    Equal words get equal ids, so a worker encodes a word once while it keeps coming back.
+    The result is that of encoding the whole text.
     """
-    tokenizer, memo = _tokenizer(path)
-    out = []
-    for text in texts:
-        parts = [_encode_piece(tokenizer, memo, p) for p in pieces(text)] if text else []
-        out.append(np.frombuffer(b"".join(parts), "<u4"))
-    return out
-
-
-def _encode_piece(tokenizer, memo: dict[str, bytes], text: str) -> bytes:
-    if _ODD.search(text):
-        return _ids(tokenizer.encode(text, add_special_tokens=False))
-    units = _UNIT.findall(text)
-    fresh = list(set(units).difference(memo))
-    own = {}
-    if fresh:
-        encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        own = {u: _ids(e) for u, e in zip(fresh, encoded)}
-        if len(memo) + len(own) > MEMO_UNITS:
-            known = {u: memo[u] for u in units if u in memo}
-            memo.clear()
-            own |= known
-        memo.update((u, ids) for u, ids in own.items() if len(u) <= UNIT_CHARS)
-        if any(len(u) > UNIT_CHARS for u in own):
-            return b"".join([memo[u] if u in memo else own[u] for u in units])
-    return b"".join([memo[u] for u in units])
-
-
-def _ids(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
+    encoder = _encoder(path)
+    return [np.frombuffer(b"".join([encoder.piece(p) for p in pieces(t)]) if t else b"", "<u4") for t in texts]

@@ -34,10 +34,10 @@ def gram_counts(texts: pa.Array) -> np.ndarray:
     counts = np.zeros(n * BINS, np.float32)
     if not len(words.starts):
         return counts.reshape(n, BINS)
-    # words with one blank before each; the last blank is that of the next word
+    # words with one blank before each
     sizes = words.ends - words.starts
     place = np.concatenate([[0], np.cumsum(sizes + 1)])
-    flat = np.full(place[-1] + 1, 32, np.uint64)
+    flat = np.full(place[-1], 32, np.uint64)
     heads = np.cumsum(sizes) - sizes
     steps = np.arange(sizes.sum())
     flat[np.repeat(place[:-1] + 1 - heads, sizes) + steps] = _LOWER[words.data[np.repeat(words.starts - heads, sizes) + steps]]
@@ -45,7 +45,9 @@ def gram_counts(texts: pa.Array) -> np.ndarray:
     for k in GRAMS:
         key = np.full(len(row), k, np.uint64)
         for i in range(k):
-            key = key << np.uint64(8) | np.pad(flat[i:i + len(row)], (0, max(0, i + len(row) - len(flat))), constant_values=32)
+            ahead = np.full(len(row), 32, np.uint64)  # past the text's end: blanks
+            ahead[: len(row) - i] = np.where(row[i:] == row[: len(row) - i], flat[i:len(row)], np.uint64(32))
+            key = key << np.uint64(8) | ahead
         out.append(np.bincount(row * BINS + (mix(key) % np.uint64(BINS)).astype(np.int64), minlength=n * BINS))
     return sum(out).astype(np.float32).reshape(n, BINS)
 

@@ -120,50 +120,59 @@ def match_round(items: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def place_items(items: DataFrame, length: int) -> DataFrame:
-    """``item``, ``bin`` and ``offset`` for items of 1 to ``length`` tokens, in few bins.
+    """``item``, ``length`` and ``bin`` for items of 1 to ``length`` tokens, in few bins.
 
-    Items over half a bin open bins of their own. Then come rounds of ``match_round``; after each, gaps
-    shrink by what they took. Where the rest surely does not fit, its largest items open
-    bins: as many as the tokens beyond the gaps need at least. An empty table
-    gives an empty result. Per round only three sums and, to open bins, counts by size
-    (at most ``length`` rows) reach the driver.
+    Items over half a bin open bins of their own. Then come rounds of ``match_round``, in which a
+    gap offers as many equal slots as the largest item left fits in; after each, gaps shrink by what they
+    took. Where the rest surely does not fit, its largest items open bins: as many as the tokens
+    beyond the gaps need at least. An empty table gives an empty result. Per round only a few
+    sums and, to open bins, counts by size (at most ``length`` rows) reach the driver.
     """
     half = length // 2
+    bins = lambda rows: rows.select("item", "length", F.col("item").alias("bin"))
     opened = items.filter(F.col("length") > half)
-    placed = [opened.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset"))]
+    placed = [bins(opened)]
     gaps = opened.filter(F.col("length") < length).select(F.col("item").alias("bin"), (length - F.col("length")).alias("gap"))
     rest = items.filter(F.col("length") <= half)
-    left, progress = _sums(rest, gaps), True
+    left = _sums(rest, gaps)
     while left["n"]:
-        free = left["gaps"] if progress else 0
+        free = left["gaps"] if left["shortest"] <= left["widest"] else 0
         if left["tokens"] > free:
             chosen = rest.join(F.broadcast(_largest(rest, -(-(left["tokens"] - free) // length))), "length").filter(
                 (F.pmod(F.xxhash64("item"), F.col("__n")) < F.col("__need")) | (F.col("item") == F.col("__first")))
             chosen = stored(chosen.select("item", "length"), "opened")
-            placed.append(chosen.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset")))
+            placed.append(bins(chosen))
             gaps = gaps.unionByName(chosen.select(F.col("item").alias("bin"), (length - F.col("length")).alias("gap")))
             rest = rest.join(chosen.select("item"), "item", "left_anti")
-        done = stored(match_round(rest, gaps), "round")
+        done = stored(match_round(rest, _slots(gaps, left["longest"])), "round")
         item, hit = F.col("kind") == 1, F.col("other_id").isNotNull()
         placed.append(done.filter(item & hit).select(
-            F.col("id").alias("item"), F.col("other_id").alias("bin"), (length - F.col("other_value")).alias("offset")))
-        gaps = done.filter(~item).select(
-            F.col("id").alias("bin"), (F.col("value") - F.coalesce("other_value", F.lit(0))).alias("gap")).filter(F.col("gap") > 0)
+            F.col("id").alias("item"), F.col("value").alias("length"), F.col("other_id").alias("bin")))
+        gaps = done.filter(~item).groupBy(F.col("id").alias("bin")).agg(
+            F.sum(F.col("value") - F.coalesce("other_value", F.lit(0))).alias("gap")).filter(F.col("gap") > 0)
         rest = done.filter(item & ~hit).select(F.col("id").alias("item"), F.col("value").alias("length"))
-        now = _sums(rest, gaps)
-        left, progress = now, now["n"] < left["n"]
+        left = _sums(rest, gaps)
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _slots(gaps: DataFrame, longest: int) -> DataFrame:
+    """Each gap as equal parts that fit any item; the first has what is over."""
+    n = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int")
+    return gaps.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(
+        "bin", (F.floor(F.col("gap") / F.col("__n")) + F.when(F.col("__i") == 1, F.col("gap") % F.col("__n")).otherwise(0)).cast("long").alias("gap"))
+
+
 def _sums(rest: DataFrame, gaps: DataFrame) -> dict[str, int]:
     both = rest.select("length", F.lit(None).cast("long").alias("gap")).unionByName(
         gaps.select(F.lit(None).cast("long").alias("length"), "gap"))
     zero = F.lit(0)
     return both.agg(
         F.count("length").alias("n"), F.coalesce(F.sum("length"), zero).alias("tokens"), F.coalesce(F.sum("gap"), zero).alias("gaps"),
+        F.coalesce(F.max("length"), zero).alias("longest"), F.coalesce(F.min("length"), zero).alias("shortest"),
+        F.coalesce(F.max("gap"), zero).alias("widest"),
     ).first().asDict()
 
 
@@ -184,6 +193,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2
     pieces = stored(cut_documents(docs, tokenizer, end_id, length), "pieces")
     items = stored(pieces.groupBy("item").agg(F.sum("length").alias("length")), "items")
     placed = place_items(items, length)
-    return pieces.join(placed, "item").select(
+    # a bin has at most ``length`` items
+    before = Window.partitionBy("bin").orderBy(F.desc("length"), "item").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.select("item", "bin", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("__offset"))
+    return pieces.join(offsets, "item").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"),
-        (F.col("offset") + F.col("item_offset")).alias("offset"))
+        (F.col("__offset") + F.col("item_offset")).alias("offset"))

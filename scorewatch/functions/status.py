@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorewatch.functions.text import number_text
 from scorewatch.values import ERROR_RATE_FAIL, ERROR_RATE_WARN, PSI_FAIL, PSI_WARN
 
 
@@ -19,8 +20,9 @@ def resolve_thresholds(psi_override: Column, error_override: Column) -> Column:
 
 
 def derive_status(max_psi: Column, error_rate: Column, dq_passed: Column, limits: Column) -> Column:
-    """Failed, Rework or Passed; reaching a limit counts as crossing it."""
-    failed = (max_psi >= limits["psi_fail"]) | (error_rate >= limits["error_rate_fail"]) | ~dq_passed
+    """Failed, Rework or Passed; reaching a limit counts as crossing it, and so does missing evidence."""
+    over = (max_psi >= limits["psi_fail"]) | (error_rate >= limits["error_rate_fail"]) | ~dq_passed
+    failed = over | max_psi.isNull() | error_rate.isNull() | dq_passed.isNull()
     warned = (max_psi >= limits["psi_warn"]) | (error_rate >= limits["error_rate_warn"])
     return F.when(failed, "Failed").when(warned, "Rework").otherwise("Passed")
 
@@ -29,11 +31,11 @@ def failure_reason(max_psi: Column, error_rate: Column, dq_passed: Column, limit
     """Why a run failed, as one line of text."""
     reasons = F.concat_ws(
         "; ",
-        F.when(~dq_passed, "data quality checks failed"),
-        F.when(max_psi >= limits["psi_fail"], F.concat(F.lit("max PSI "), max_psi, F.lit(" >= "), limits["psi_fail"])),
+        F.when(~F.coalesce(dq_passed, F.lit(False)), "data quality checks failed"),
+        F.when(max_psi >= limits["psi_fail"], F.concat(F.lit("max PSI "), number_text(max_psi), F.lit(" >= "), number_text(limits["psi_fail"]))),
         F.when(
             error_rate >= limits["error_rate_fail"],
-            F.concat(F.lit("error rate "), error_rate, F.lit(" >= "), limits["error_rate_fail"]),
+            F.concat(F.lit("error rate "), number_text(error_rate), F.lit(" >= "), number_text(limits["error_rate_fail"])),
         ),
     )
     return F.concat(F.lit("Monitoring failed: "), F.coalesce(F.nullif(reasons, F.lit("")), F.lit("thresholds breached")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scorewatch.values import RUNNABLE_STEP_TYPES, STEP_ORDER
+from scorewatch.values import RUNNABLE_STEP_TYPES, STEP_ORDER, TERMINAL_JOB_STATUSES
 
 
 def execute_ref(steps: Column) -> Column:
@@ -21,8 +21,8 @@ def execute_ref(steps: Column) -> Column:
 def derive_job_status(status: Column, steps: Column) -> Column:
     """The status a job should have, given its steps in order.
 
-    The first step that is not done decides; when all are done the job has
-    succeeded unless it already ended or waits for approval.
+    Only a started job moves on: pending and ended ones keep their status. The first step
+    that is not done decides; when all are done the job has succeeded unless it waits for approval.
     """
     def known(s: Column) -> Column:
         return s["type"].isin([*RUNNABLE_STEP_TYPES, "approval"])
@@ -36,7 +36,8 @@ def derive_job_status(status: Column, steps: Column) -> Column:
     waits = (first["status"] == "idle") & (first["type"] == "approval")
     starts = (first["status"] == "idle") & (first["type"] != "approval")
     return (
-        F.when(first.isNull() & status.isin("failed", "awaiting_approval", "cancelled"), status)
+        F.when(status.isin("pending", *TERMINAL_JOB_STATUSES), status)
+        .when(first.isNull() & (status == "awaiting_approval"), status)
         .when(first.isNull(), "success")
         .when(waits, "awaiting_approval")
         .when(starts, "running")

@@ -115,3 +115,15 @@ def run_prefix(base: Column, run_date: Column, run_id: Column) -> Column:
     return F.concat(
         F.regexp_replace(base, "/+$", ""), F.lit("/"), F.date_format(run_date, "yyyy-MM-dd"), F.lit("/"), run_id, F.lit("/")
     )
+
+
+def number_text(x: Column) -> Column:
+    """A double as plain text where the JVM would write an exponent for 0.0001 to 0.001: 0.0005, not 5.0E-4."""
+    text, small = x.cast("string"), r"^(-?)(\d)\.(\d+)E-4$"
+    digits = F.regexp_replace(F.concat(F.regexp_extract(text, small, 2), F.regexp_extract(text, small, 3)), "0+$", "")
+    return F.when(text.rlike(small), F.concat(F.regexp_extract(text, small, 1), F.lit("0.000"), digits)).otherwise(text)
+
+
+def stripped(x: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

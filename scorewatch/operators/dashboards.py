@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewatch.functions.text import parse_vcpu
-from scorewatch.operators.lookup import lookup_join
+from scorewatch.operators.listing import recent
 from scorewatch.values import (
     JOB_STATUSES,
     MODEL_STAGES,
@@ -84,12 +84,17 @@ def utilization(load: DataFrame, capacity: str = "max_cpu") -> DataFrame:
 
 
 def last_success(jobs: DataFrame) -> DataFrame:
-    """Time of the newest successful run per pipeline."""
+    """When the newest successful run of each pipeline was completed (``completed_at``)."""
     return jobs.filter(F.col("status") == "success").groupBy("tenant_id", "pipeline_id").agg(
-        F.max("submitted_at").alias("last_success_at")
+        F.max("completed_at").alias("last_success_at")
     )
 
 
+def jobs_by_status(jobs: DataFrame) -> DataFrame:
+    """Jobs per status that occurs, with no row for others; no status is counted too."""
+    return jobs.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def tenant_count(tenants: DataFrame, tenant: str | None = None) -> DataFrame:
     """Number of tenants for a view over all of them, NULL for that of one tenant."""
     counted = F.count("*") if tenant is None else F.lit(None).cast("long")
@@ -129,6 +134,26 @@ def dashboard_summary(pipelines: DataFrame, jobs: DataFrame, models: DataFrame)
     })
 
 
+def dashboard(
+    pipelines: DataFrame, jobs: DataFrame, models: DataFrame, tenants: DataFrame, events: DataFrame, tenant: str | None = None
+) -> dict[str, DataFrame]:
+    """All parts of the overview, of every tenant or of one.
+
+    ``counts`` (see ``dashboard_summary``), ``tenants`` (their number, NULL in a view of one), ``load`` with
+    utilization per tenant, and the newest ``jobs`` and audit ``events``.
+    """
+    if tenant is not None:
+        pipelines, jobs, models, tenants, events = (
+            df.filter(F.col("tenant_id") == tenant) for df in (pipelines, jobs, models, tenants, events))
+    return {
+        "counts": dashboard_summary(pipelines, jobs, models),
+        "tenants": tenant_count(tenants, tenant),
+        "load": utilization(tenant_load(jobs, tenants)),
+        "jobs": recent(jobs, "submitted_at", "job_id"),
+        "events": recent(events, "ts", "event_id"),
+    }
+
+
 def share_of_max(counts: DataFrame, n: str = "n") -> DataFrame:
     """Add each count as a share of the largest, for bar widths."""
     largest = counts.agg(F.greatest(F.lit(1), F.max(n)).alias("largest")).scalar()

@@ -112,7 +112,8 @@ def recent(df: DataFrame, ts: str, tie: str, k: int = RECENT_LIMIT) -> DataFrame
 def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> DataFrame:
     """One page of an ordered table, with ``total``, ``page`` and ``page_size`` columns.
 
-    ``order`` must be unique. A page past the end is empty.
+    ``order`` must be unique. A page past the end is empty. All rows up to the page are sorted:
+    for shallow pages only; ``page_after`` goes on from a row at the same cost for any depth.
     """
     page, size = max(page, 1), max(size, 1)
     total = df.agg(F.count("*").alias("total")).scalar()
@@ -120,6 +121,17 @@ def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 20)
     return part.select("*", total.alias("total"), F.lit(page).alias("page"), F.lit(size).alias("page_size"))
 
 
+def page_after(df: DataFrame, order: list[str], last: dict | None = None, size: int = 20) -> DataFrame:
+    """The next ``size`` rows in ascending order of unique, non-null ``order`` columns, after the row ``last``.
+
+    Only ``size`` rows per task are kept; without ``last`` it is the first page.
+    """
+    if last is not None:
+        here, there = F.struct(*order), F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+        df = df.filter(here > there)
+    return df.orderBy(*order).limit(max(size, 1))
+
+
 def versions(df: DataFrame, descending: bool = False) -> DataFrame:
     """Distinct model versions by name, with 2 before 10; or newest version first."""
     known = df.select("model_name", F.col("version").cast("string").alias("version")).distinct()

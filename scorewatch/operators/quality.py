@@ -23,6 +23,7 @@ from scorewatch.functions.drift import (
     proportions,
     psi,
 )
+from scorewatch.functions.text import stripped
 from scorewatch.operators.lookup import lookup_join
 from scorewatch.operators.ordered import with_last
 from scorewatch.values import (
@@ -61,13 +62,19 @@ def baseline_facts(baselines: DataFrame, columns: list[str]) -> BaselineFacts:
 
 
 def inspected_columns(manifest: DataFrame, columns: list[str]) -> list[str]:
-    """Columns that a null-rate check or a prediction setting names, by one aggregation."""
+    """Columns that a null-rate check or a prediction setting names, by one aggregation.
+
+    ``columns`` are those of the scored table. A run that claims such a column which the table lacks
+    is an error: the schemas were not merged, or names differ in case.
+    """
     named = F.transform(
-        F.filter(F.coalesce("checks", F.array()), lambda c: c["type"] == "null_rate"), lambda c: F.trim(c["name"])
+        F.filter(F.coalesce("checks", F.array()), lambda c: c["type"] == "null_rate"), lambda c: stripped(c["name"])
     )
-    wanted = F.array(*[F.lit(c) for c in columns])
-    found = manifest.select(F.explode(F.array_intersect(F.array_append(named, F.col("prediction_col")), wanted)).alias("c"))
-    return sorted(r["c"] for r in found.distinct().collect())
+    claimed = F.array_intersect(F.array_append(named, F.col("prediction_col")), F.col("columns"))
+    found = sorted(r["c"] for r in manifest.select(F.explode(claimed).alias("c")).distinct().collect())
+    if lost := sorted(set(found) - set(columns)):
+        raise ValueError(f"runs have the columns {lost}, the scored table does not")
+    return found
 
 
 def run_counts(scored: DataFrame, columns: list[str] = (), keys: list[str] = RUN_KEYS) -> DataFrame:
@@ -246,7 +253,7 @@ def _check_result(check: Column, i: Column) -> Column:
     """One evaluated check; the columns it needs are those of ``dq_report``."""
     columns, expected = F.col("columns"), F.transform("baseline", lambda b: b["feature"])
     name = F.coalesce(
-        F.nullif(F.trim(check["name"]), F.lit("")), F.concat(check["type"], F.lit("_"), (i + 1).cast("string"))
+        F.nullif(stripped(check["name"]), F.lit("")), F.concat(check["type"], F.lit("_"), (i + 1).cast("string"))
     )
     seen = F.try_element_at("stats", name)
     present = F.array_contains(columns, name)
@@ -274,7 +281,7 @@ def _check_result(check: Column, i: Column) -> Column:
         check["type"].alias("type"),
         check["threshold"].cast("double").alias("threshold"),
         F.round(observed, 4).alias("observed"),
-        (observed <= check["threshold"]).alias("passed"),
+        F.coalesce(observed <= check["threshold"], F.lit(False)).alias("passed"),
         note.alias("note"),
     )
 
@@ -305,7 +312,9 @@ def dq_report(
     ``stored`` are snapshots from earlier on, looked at for previous row counts.
 
     When this is called, ``baselines`` is looked at once, and so is ``manifest``
-    unless ``inspect`` names the columns that checks and prediction settings use.
+    unless ``inspect`` names the columns that checks and prediction settings use. A check on a
+    column that ``inspect`` leaves out fails, and the error rate of such a prediction is NULL, which
+    ``derive_status`` takes as failed.
     """
     facts = baseline_facts(baselines, scored.columns)
     if inspect is None:
@@ -375,15 +384,29 @@ def drift_by_run(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_
     return runs.select(*keys, "request_count", F.inline(scores)).filter("psi IS NOT NULL")
 
 
+def drift_summary(scored: DataFrame, manifest: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
+    """Rows, scored features and largest PSI of every run in ``manifest``; 0 without rows or a usable baseline."""
+    facts = baseline_facts(baselines, scored.columns)
+    stats = _run_stats(scored, baselines, facts, [], keys)
+    runs = manifest.select(*keys).join(stats, keys, "left")
+    runs = lookup_join(runs, baseline_specs(baselines), MODEL_KEYS, small_bytes=facts.wide_bytes)
+    here = F.array(*[F.lit(c) for c in scored.columns])
+    drift = F.transform(F.coalesce("baseline", F.array()), lambda b: _feature_drift(b, F.col("stats"), here))
+    scores = F.transform(F.filter(drift, lambda d: d["psi"].isNotNull()), lambda d: d["psi"])
+    return runs.select(
+        *keys, F.coalesce("request_count", F.lit(0)).alias("request_count"), F.size(scores).cast("long").alias("features"),
+        F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("total_psi"), max_psi(scores).alias("max_psi"))
+
+
 def bucket_shares(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
-    """Count and share of every baseline bucket per run and feature, empty ones included."""
+    """Count and share of every bucket of a usable baseline per run and feature, empty ones included."""
     facts = baseline_facts(baselines, scored.columns)
     stats = _run_stats(scored, baselines, facts, [], keys)
     runs = lookup_join(stats, baseline_specs(baselines), MODEL_KEYS, "inner", small_bytes=facts.wide_bytes)
 
     def shares(b: Column) -> Column:
         seen = F.try_element_at("stats", b["feature"])
-        usable = (seen["not_numbers"] == 0) & (seen["rows"] > seen["nulls"]) & (F.size(b["bins"]) >= 2)
+        usable = (seen["not_numbers"] == 0) & (seen["rows"] > seen["nulls"]) & (F.size(b["bins"]) == F.size(b["proportions"]) + 1)
         share = proportions(seen["buckets"], F.size(b["bins"]) - 1, seen["rows"] - seen["nulls"])
         return F.when(usable, F.transform(share, lambda s, i: F.struct(
             b["feature"].alias("feature"), i.alias("bucket"),

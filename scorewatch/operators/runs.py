@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewatch.operators.ordered import with_sequence
-from scorewatch.values import RUN_DETAIL_KEPT
 
 JOB_KEYS = ["tenant_id", "job_id"]
 
@@ -18,7 +17,7 @@ def number_runs(runs: DataFrame, ts: str, ties: list[str] = (), width: str = "da
 
 
 def trim_history(
-    runs: DataFrame, ts: str, detail: list[str], keep: int = RUN_DETAIL_KEPT, ties: list[str] = (), width: str = "day"
+    runs: DataFrame, ts: str, detail: list[str], keep: int, ties: list[str] = (), width: str = "day"
 ) -> DataFrame:
     """Blank the ``detail`` columns of all but the newest ``keep`` runs of each job."""
     numbered = with_sequence(runs, JOB_KEYS, ts, ties=ties, width=width)
@@ -26,7 +25,7 @@ def trim_history(
     return numbered.withColumns({c: F.when(kept, F.col(c)) for c in detail}).drop("seq", "total")
 
 
-def trim_nested_history(jobs: DataFrame, keep: int = RUN_DETAIL_KEPT) -> DataFrame:
+def trim_nested_history(jobs: DataFrame, keep: int) -> DataFrame:
     """The same for jobs that carry their history as an array, oldest run first."""
     fields = [f.name for f in jobs.schema["run_history"].dataType.elementType.fields]
     trimmed = F.transform("run_history", lambda r, i: F.struct(*[

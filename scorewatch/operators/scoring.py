@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -12,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A pickled model larger than this is not broadcast; pass a loader instead.
-MODEL_BYTES = 1 << 30
+_log = logging.getLogger(__name__)
 
 
 def score(
@@ -26,11 +26,12 @@ def score(
     """Add a nullable prediction column; every input row and column is kept as it is.
 
     ``model`` is a pickled object with ``predict(DataFrame)``, or a function that
-    returns such an object and runs once per task, for models too large to
-    broadcast. Pickles run code: use trusted ones only. Only the feature columns
+    returns such an object and runs once per task; give a function that reads the model from
+    its place where it is too large to be sent around. Pickles run code: use trusted ones only. Only the feature columns
     go through pandas. Rows of a batch that fails get NULL; with
     ``on_error="row"`` a failing batch is halved until only the rows that
-    cannot be scored are left, so the result does not depend on batching. A NaN
+    cannot be scored are left, so the result does not depend on batching. What fails is logged
+    in its task with its number of rows. A NaN
     prediction is stored as NULL.
     """
     if prediction_col in df.columns:
@@ -40,8 +41,6 @@ def score(
     if callable(model):
         load = model
     else:
-        if len(model) > MODEL_BYTES:
-            raise ValueError(f"model of {len(model)} bytes is too large to broadcast; pass a loader function")
         shared = df.sparkSession.sparkContext.broadcast(model)
         load = lambda: pickle.loads(shared.value)
     used = list(features or df.columns)
@@ -57,6 +56,7 @@ def score(
             return values
         except Exception:
             if on_error == "batch" or len(rows) == 1:
+                _log.exception("%d rows could not be scored", len(rows))
                 return np.full(len(rows), np.nan)
             half = len(rows) // 2
             return np.concatenate([predict(loaded, rows.iloc[:half]), predict(loaded, rows.iloc[half:])])

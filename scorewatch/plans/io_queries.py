@@ -38,14 +38,15 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a2_sample_files_by_budget", sql="""
-    SELECT l_returnflag, count(*) AS n, false AS sampled FROM lineitem GROUP BY ALL""")
+    SELECT n_regionkey, count(*) AS n, 1 AS files_skipped FROM nation GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    # a budget that just holds every file: the choice among files is tested on small fixtures
+    # the budget is the caller's; this one holds the first file and skips the larger second
     prefix = scratch_path(t.spark, "output")
-    t["lineitem"].select("l_orderkey", "l_returnflag").repartition("l_orderkey").write.parquet(prefix)
+    t["nation"].select("n_regionkey").coalesce(1).write.parquet(f"{prefix}/a")
     budget = runs.list_files(t.spark, prefix).agg(F.sum("bytes")).first()[0]
+    t["customer"].select(F.col("c_custkey").alias("n_regionkey")).coalesce(1).write.parquet(f"{prefix}/b")
     df, stats = runs.sample_run_output(t.spark, prefix, budget)
-    return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.lit(stats["sampled"]).alias("sampled"))
+    return df.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.lit(stats["files_skipped"]).alias("files_skipped"))
 
 
 @query("a3_unload_table", sql="""
@@ -104,27 +105,67 @@ def _(t: Tables) -> DataFrame:
     return sinks.align_to_target(source, target)
 
 
+@query("a7_output_columns", sql="""
+    SELECT column_name AS name FROM (DESCRIBE SELECT l_orderkey, l_tax FROM lineitem)""")
+def _(t: Tables) -> DataFrame:
+    prefix = scratch_path(t.spark, "output")
+    t["lineitem"].select("l_orderkey", "l_tax").write.parquet(f"{prefix}/a")
+    names = runs.output_columns(t.spark, prefix)
+    return t.spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
+
+
+@query("a8_lineage", sql="""
+    SELECT o_orderstatus, 'RUN-0005' AS run, '2024-03-05' AS day, count(*) AS n FROM orders GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    sinks.assert_no_lineage_collision(t["orders"])
+    rows = sinks.with_lineage(t["orders"], "RUN-0005", "2024-03-05")
+    return rows.groupBy("o_orderstatus", F.col(RUN_ID_COLUMN).alias("run"), F.col(LOAD_DATE_COLUMN).cast("string").alias("day")).agg(
+        F.count("*").alias("n"))
+
+
 @query("a10_load_ledger", views="audit", sql="""
     SELECT DISTINCT path FROM (SELECT *, actor || '/' || entity_id AS path FROM audit)
-    WHERE path NOT IN (SELECT actor || '/' || entity_id FROM audit WHERE action = 'view' AND ts >= TIMESTAMP '2024-03-20' - INTERVAL 64 DAYS)""")
+    WHERE path NOT IN (SELECT actor || '/' || entity_id FROM audit WHERE action = 'view')""")
 def _(t: Tables) -> DataFrame:
-    files = v.audit(t).select(F.concat("actor", F.lit("/"), "entity_id").alias("path"), "action", F.col("ts").alias("loaded_at"))
-    ledger = files.filter("action = 'view'")
-    return sinks.not_yet_loaded(files.select("path"), ledger, F.lit("2024-03-20").cast("timestamp"))
+    files = v.audit(t).select(F.concat("actor", F.lit("/"), "entity_id").alias("path"), "action")
+    return sinks.not_yet_loaded(files.select("path"), files.filter("action = 'view'"))
+
+
+def _loaded(t: Tables, table: str, results: list[int]) -> DataFrame:
+    loads = F.array(*[F.lit(n).cast("long") for n in results])
+    return t.spark.read.parquet(table).groupBy(RUN_ID_COLUMN).agg(
+        F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.array_join(loads.cast("array<string>"), ",").alias("added"))
 
 
 @query("a10_load_files", sql="""
-    SELECT _run_id, count(*) AS n, count(DISTINCT event_id) AS events, 0::BIGINT AS loaded_again
-    FROM events, (VALUES ('RUN-0001')) r(_run_id) GROUP BY ALL""")
+    SELECT 'RUN-0001' AS _run_id, count(*) AS n, count(DISTINCT event_id) AS events, count(*) || ',0' AS added FROM events""")
 def _(t: Tables) -> DataFrame:
+    # the same files again 100 days later add nothing
     base = scratch_path(t.spark, "staged")
     uri, _ = sinks.unload_table(t["events"], base, DAY, "RUN-0001")
+    args = (f"{base}/table", f"{base}/ledger", "RUN-0001")
+    return _loaded(t, args[0], [sinks.load_files(t.spark, uri, *args, day) for day in ("2024-03-01", "2024-06-09")])
+
+
+@query("a10_load_two_folders", sql="""
+    SELECT 'RUN-0001' AS _run_id, count(*) AS n, count(DISTINCT event_id) AS events,
+           count(*) FILTER (event_type = 'click') || ',' || count(*) FILTER (event_type <> 'click') AS added FROM events""")
+def _(t: Tables) -> DataFrame:
+    base, click = scratch_path(t.spark, "staged"), F.col("event_type") == "click"
+    folders = [sinks.unload_table(t["events"].filter(x), f"{base}/{i}", DAY, "RUN-0001")[0] for i, x in enumerate((click, ~click))]
     args = (f"{base}/table", f"{base}/ledger", "RUN-0001", "2024-03-01")
-    sinks.load_files(t.spark, uri, *args)
-    again = sinks.load_files(t.spark, uri, *args)
-    return t.spark.read.parquet(args[0]).groupBy(RUN_ID_COLUMN).agg(
-        F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.lit(again).cast("long").alias("loaded_again")
-    )
+    return _loaded(t, args[0], [sinks.load_files(t.spark, uri, *args) for uri in folders])
+
+
+@query("a10_load_half_done", sql="""
+    SELECT 'RUN-0001' AS _run_id, count(*) AS n, count(DISTINCT event_id) AS events, count(*) || ',0' AS added FROM events""")
+def _(t: Tables) -> DataFrame:
+    # the ledger of the first load is lost: its files are found in the table and only noted
+    base = scratch_path(t.spark, "staged")
+    uri, _ = sinks.unload_table(t["events"], base, DAY, "RUN-0001")
+    first = sinks.load_files(t.spark, uri, f"{base}/table", f"{base}/lost", "RUN-0001", "2024-03-01")
+    again = sinks.load_files(t.spark, uri, f"{base}/table", f"{base}/ledger", "RUN-0001", "2024-03-02")
+    return _loaded(t, f"{base}/table", [first, again])
 
 
 @query("a11_load_row_total", views="audit", sql="""
@@ -156,8 +197,9 @@ def _(t: Tables) -> DataFrame:
     FROM audit GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     path, events = scratch_path(t.spark, "audit"), v.audit(t)
-    audit_log.append_audit(events.filter("action = 'click'"), path)
-    audit_log.append_audit(events.filter("action <> 'click'"), path)
+    click = F.col("action").eqNullSafe("click")
+    audit_log.append_audit(events.filter(click), path)
+    audit_log.append_audit(events.filter(~click), path)
     return t.spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"), "tenant_id").agg(
         F.count("*").alias("n"), F.count_distinct("entity_key").alias("entities")
     )
@@ -183,7 +225,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "stream")
     manifest_path, scored_path = f"{base}/manifest", f"{base}/scored"
-    v.scored(t).write.partitionBy("tenant_id").parquet(scored_path)
+    v.scored(t).repartition("tenant_id", "run_id").write.partitionBy("tenant_id", "run_id").parquet(scored_path)
     manifest = v.run_manifest(t)
     for early in (True, False):
         late = F.col("recorded_at") >= F.lit("1999-01-01").cast("timestamp")
@@ -198,4 +240,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _scored_of(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
-    return lookup_join(spark.read.parquet(path), batch.select(*RUN_KEYS), RUN_KEYS, "left_semi")
+    """The scored rows of a batch's runs: only the folders of their run ids are read."""
+    names = [r["run_id"] for r in batch.select("run_id").distinct().collect()]
+    rows = spark.read.option("basePath", path).parquet(path).filter(F.col("run_id").isin(names))
+    return lookup_join(rows, batch.select(*RUN_KEYS), RUN_KEYS, "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from scorewatch.operators import quality, scoring, snapshots
 from scorewatch.plans import views as v
 from scorewatch.plans.registry import iso, joined, query
 from scorewatch.plans.views import Tables
+from scorewatch.session import scratch_path
+from scorewatch.sources import runs
 from scorewatch.values import MODEL_KEYS, RUN_KEYS
 
 RUN = ["tenant_id", "model_name", "run_id"]
@@ -21,23 +25,22 @@ def _report(t: Tables) -> DataFrame:
     return quality.dq_report(v.scored(t), v.run_manifest(t), v.baselines(t), inspect=v.inspected())
 
 
-def drift_status(scored: DataFrame, baselines: DataFrame, models: DataFrame) -> DataFrame:
-    """Every run with its per-feature PSI reduced to a maximum and a monitoring status."""
-    scores = quality.drift_by_run(scored, baselines)
-    runs = scores.groupBy(*RUN_KEYS, "request_count").agg(F.max("psi").alias("max_psi"), F.count("*").alias("features"))
-    limited = snapshots.with_thresholds(runs, models)
+def drift_status(scored: DataFrame, manifest: DataFrame, baselines: DataFrame, models: DataFrame) -> DataFrame:
+    """Every run of the manifest with its per-feature PSI reduced to a maximum and a monitoring status."""
+    limited = snapshots.with_thresholds(quality.drift_summary(scored, manifest, baselines), models)
     status = derive_status(F.col("max_psi"), F.lit(0.0), F.lit(True), F.col("thresholds"))
     return limited.select(*RUN, "request_count", "features", "max_psi", status.alias("status"))
 
 
-@query("drift_status", views="scored psi models", sql="""
-    SELECT tenant_id, model_name, run_id, n AS request_count, features, max_psi,
+@query("drift_status", views="runs psi models", sql="""
+    SELECT tenant_id, model_name, run_id, request_count, coalesce(features, 0) AS features, coalesce(max_psi, 0.0) AS max_psi,
            CASE WHEN max_psi >= coalesce(psi_fail_override, 0.25) THEN 'Failed' WHEN max_psi >= 0.10 THEN 'Rework' ELSE 'Passed' END AS status
-    FROM (SELECT tenant_id, model_name, version, run_id, max(psi) AS max_psi, count(*) AS features FROM psi GROUP BY ALL)
-    JOIN (SELECT tenant_id, model_name, run_id, count(*) AS n FROM scored GROUP BY ALL) USING (tenant_id, model_name, run_id)
+    FROM runs
+    LEFT JOIN (SELECT tenant_id, model_name, run_id, max(psi) AS max_psi, count(*) AS features FROM psi GROUP BY ALL)
+      USING (tenant_id, model_name, run_id)
     LEFT JOIN models USING (tenant_id, model_name, version)""")
 def _(t: Tables) -> DataFrame:
-    return drift_status(v.scored(t), v.baselines(t), v.models(t))
+    return drift_status(v.scored(t), v.run_manifest(t), v.baselines(t), v.models(t))
 
 
 @query("c4_features_with_baseline", views="psi scored", sql="""
@@ -47,10 +50,10 @@ def _(t: Tables) -> DataFrame:
     return quality.drift_by_run(v.scored(t), v.baselines(t)).select(*RUN, "feature", "request_count", "psi")
 
 
-@query("d1_request_count", views="scored", sql="""
-    SELECT tenant_id, model_name, run_id, count(*) AS request_count FROM scored GROUP BY ALL""")
+@query("d1_request_count", views="runs", sql="SELECT tenant_id, model_name, run_id, request_count FROM runs")
 def _(t: Tables) -> DataFrame:
-    return quality.run_counts(v.scored(t)).select(*RUN, "request_count")
+    counted = v.run_manifest(t).select(*RUN_KEYS).join(quality.run_counts(v.scored(t)), RUN_KEYS, "left")
+    return counted.select(*RUN, F.coalesce("request_count", F.lit(0)).alias("request_count"))
 
 
 @query("d2_error_rate", views="error_rates", sql="""
@@ -59,17 +62,11 @@ def _(t: Tables) -> DataFrame:
     return _report(t).select(*RUN, "error_rate")
 
 
-@query("d3_null_rate", views="scored", sql="""
-    SELECT tenant_id, model_name, run_id, count(*) AS request_count,
-           round(count(*) FILTER (prediction IS NULL) / count(*), 4) AS prediction_rate,
-           round(count(*) FILTER (l_discount IS NULL) / count(*), 4) AS discount_rate
-    FROM scored GROUP BY ALL""")
+@query("d3_null_rate", views="check_results", sql="""
+    SELECT tenant_id, model_name, run_id, shown AS name, observed FROM check_results WHERE type = 'null_rate'
+    QUALIFY pos = max(pos) OVER (PARTITION BY tenant_id, model_name, run_id, shown)""")
 def _(t: Tables) -> DataFrame:
-    counts = quality.run_counts(v.scored(t), ["prediction", "l_discount"])
-    rate = {c: F.round(quality.null_fraction(F.col(f"nulls_{c}"), F.col("request_count")), 4) for c in ("prediction", "l_discount")}
-    return counts.select(
-        *RUN, "request_count", rate["prediction"].alias("prediction_rate"), rate["l_discount"].alias("discount_rate")
-    )
+    return _details(t).filter("type = 'null_rate'").select(*RUN, "name", "observed")
 
 
 @query("d4_row_count_delta", views="runs", sql="""
@@ -88,16 +85,13 @@ def _details(t: Tables) -> DataFrame:
     return _report(t).select(*RUN, F.inline("dq_details"))
 
 
-@query("d5_schema_match", views="runs schema_gaps", sql="""
-    SELECT tenant_id, model_name, run_id, coalesce(missing / expected, 0.0) AS observed, coalesce(names, '') AS missing
-    FROM runs LEFT JOIN schema_gaps USING (tenant_id, model_name, run_id)""")
+@query("d5_schema_match", views="runs checks schema_gaps", sql="""
+    SELECT tenant_id, model_name, run_id, round(coalesce(missing / expected, 0.0), 4) AS observed,
+           CASE WHEN expected IS NULL THEN 'no drift baseline registered — no expected schema to compare'
+                WHEN missing > 0 THEN 'missing expected columns: [''' || replace(names, ', ', ''', ''') || ''']' ELSE '' END AS note
+    FROM runs JOIN checks USING (model_name) LEFT JOIN schema_gaps USING (tenant_id, model_name, run_id) WHERE type = 'schema_match'""")
 def _(t: Tables) -> DataFrame:
-    specs = quality.baseline_specs(v.baselines(t))
-    runs = v.run_manifest(t).join(specs, MODEL_KEYS, "left")
-    expected = F.coalesce(F.transform("baseline", lambda b: b["feature"]), F.array())
-    missing = F.array_sort(F.array_except(expected, F.col("columns")))
-    share = F.when(F.size(expected) == 0, 0.0).otherwise(F.size(missing) / F.size(expected))
-    return runs.select(*RUN, share.alias("observed"), F.array_join(missing, ", ").alias("missing"))
+    return _details(t).filter("type = 'schema_match'").select(*RUN, "observed", F.coalesce("note", F.lit("")).alias("note"))
 
 
 @query("d6_evaluate_checks", views="check_results", sql="""
@@ -107,24 +101,29 @@ def _(t: Tables) -> DataFrame:
     return _details(t).withColumn("note", F.coalesce("note", F.lit("")))
 
 
-@query("d7_check_names", views="check_results", sql="""
-    SELECT tenant_id, model_name, run_id, string_agg(DISTINCT shown, ',' ORDER BY shown) AS names, bool_and(passed) AS verdict
-    FROM check_results GROUP BY ALL""")
+@query("d7_check_names", views="runs check_results", sql="""
+    SELECT tenant_id, model_name, run_id, coalesce(names, '') AS names, coalesce(verdict, true) AS verdict
+    FROM runs LEFT JOIN (
+      SELECT tenant_id, model_name, run_id, string_agg(DISTINCT shown, ',' ORDER BY shown) AS names, bool_and(passed) AS verdict
+      FROM check_results GROUP BY ALL) USING (tenant_id, model_name, run_id)""")
 def _(t: Tables) -> DataFrame:
     names = F.array_sort(F.transform("dq_details", lambda d: d["name"]))
-    return _report(t).filter(F.size("dq_details") > 0).select(*RUN, joined(names).alias("names"), F.col("dq_passed").alias("verdict"))
+    return _report(t).select(*RUN, joined(names).alias("names"), F.col("dq_passed").alias("verdict"))
 
 
-@query("d8_bucketize", views="feature_values baseline", sql="""
+@query("d8_bucketize", views="scored feature_values baseline", sql="""
     SELECT tenant_id, feature, v, greatest(0, least(len(bins) - 2, len(list_filter(bins, lambda b: b <= v)) - 1))::INTEGER AS bucket,
            count(*) AS n
-    FROM feature_values JOIN baseline USING (tenant_id, model_name, version, feature)
+    FROM (SELECT tenant_id, model_name, version, feature, v FROM feature_values
+          UNION ALL SELECT tenant_id, model_name, version, 'l_linenumber', l_linenumber FROM scored)
+    JOIN baseline USING (tenant_id, model_name, version, feature)
     GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    # every baseline feature whose values are numbers
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
     wide = v.baselines(t).filter(F.col("feature").isin(names))
     values = v.scored(t).select(*MODEL_KEYS, F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in names
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in names
     ])))
     facts = quality.baseline_facts(wide, names)
     pairs = quality.lookup_join(values, wide, [*MODEL_KEYS, "feature"], "inner", small_bytes=facts.wide_bytes)
@@ -136,15 +135,17 @@ def _(t: Tables) -> DataFrame:
 @query("d9_bucket_proportions", views="bucket_shares", sql="""
     SELECT tenant_id, model_name, run_id, feature, bucket::INTEGER AS bucket, n::BIGINT AS n, round(share, 6) AS share FROM bucket_shares""")
 def _(t: Tables) -> DataFrame:
-    shares = quality.bucket_shares(v.scored(t), v.baselines(t).filter(F.size("bins") > 3))
+    shares = quality.bucket_shares(v.scored(t), v.baselines(t))
     return shares.select(*RUN, "feature", "bucket", "n", F.round("share", 6).alias("share"))
 
 
-@query("d10_psi", views="psi", sql="""
-    SELECT tenant_id, model_name, run_id, round(sum(psi), 6) AS total_psi, max(psi) AS max_psi FROM psi GROUP BY ALL""")
+@query("d10_psi", views="runs psi", sql="""
+    SELECT tenant_id, model_name, run_id, round(coalesce(total_psi, 0.0), 6) AS total_psi, coalesce(max_psi, 0.0) AS max_psi
+    FROM runs LEFT JOIN (SELECT tenant_id, model_name, run_id, sum(psi) AS total_psi, max(psi) AS max_psi FROM psi GROUP BY ALL)
+      USING (tenant_id, model_name, run_id)""")
 def _(t: Tables) -> DataFrame:
-    scores = quality.drift_by_run(v.scored(t), v.baselines(t))
-    return scores.groupBy(*RUN).agg(F.round(F.sum("psi"), 6).alias("total_psi"), F.max("psi").alias("max_psi"))
+    scores = quality.drift_summary(v.scored(t), v.run_manifest(t), v.baselines(t))
+    return scores.select(*RUN, F.round("total_psi", 6).alias("total_psi"), "max_psi")
 
 
 @query("d11_drift_metrics", views="run_psi", sql="""
@@ -211,15 +212,14 @@ def _(t: Tables) -> DataFrame:
 @query("fit_baseline", views="feature_values scored", sql="""
     SELECT tenant_id, model_name, feature, bucket::INTEGER AS bucket, round(coalesce(n, 0) / total, 6) AS share
     FROM (SELECT *, unnest(range(len(bins) - 1)) AS bucket
-          FROM (SELECT tenant_id, model_name, feature, count(*) AS total FROM feature_values WHERE run_id LIKE '1995%' GROUP BY ALL)
+          FROM (SELECT tenant_id, model_name, feature, count(*) AS total FROM feature_values GROUP BY ALL)
           JOIN (VALUES ('l_quantity', [1, 10, 20, 30, 40, 50]::DOUBLE[]), ('l_discount', [0, 0.03, 0.07, 0.1]::DOUBLE[])) e(feature, bins) USING (feature))
     LEFT JOIN (SELECT tenant_id, model_name, feature, greatest(0, least(len(bins) - 2, len(list_filter(bins, lambda b: b <= v)) - 1)) AS bucket, count(*) AS n
                FROM feature_values
                JOIN (VALUES ('l_quantity', [1, 10, 20, 30, 40, 50]::DOUBLE[]), ('l_discount', [0, 0.03, 0.07, 0.1]::DOUBLE[])) e(feature, bins) USING (feature)
-               WHERE run_id LIKE '1995%' GROUP BY ALL) USING (tenant_id, model_name, feature, bucket)""")
+               GROUP BY ALL) USING (tenant_id, model_name, feature, bucket)""")
 def _(t: Tables) -> DataFrame:
-    first_year = v.scored(t).filter(F.col("run_id").startswith("1995"))
-    fitted = quality.fit_baseline(first_year, {"l_quantity": [1, 10, 20, 30, 40, 50], "l_discount": [0, 0.03, 0.07, 0.1]})
+    fitted = quality.fit_baseline(v.scored(t), {"l_quantity": [1, 10, 20, 30, 40, 50], "l_discount": [0, 0.03, 0.07, 0.1]})
     return fitted.select("tenant_id", "model_name", "feature", F.posexplode("proportions").alias("bucket", "share")).withColumn(
         "share", F.round("share", 6)
     )
@@ -351,8 +351,13 @@ def _example_model() -> bytes:
     return cloudpickle.dumps(PriceModel())
 
 
+def _lines(t: Tables) -> DataFrame:
+    return t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_shipdate")
+
+
 def _scored_lines(t: Tables) -> DataFrame:
-    lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_shipdate")
+    # the file has one row group; scoring is dearer than dealing its rows to all tasks
+    lines = _lines(t).repartition(t.spark.sparkContext.defaultParallelism)
     return scoring.score(lines, _example_model(), features=["l_partkey", "l_quantity", "l_discount"], on_error="row")
 
 
@@ -370,6 +375,30 @@ def _(t: Tables) -> DataFrame:
            count(*) FILTER (l_partkey % 19 = 0 OR l_partkey % 1009 = 0) AS null_predictions, true AS complete
     FROM lineitem""")
 def _(t: Tables) -> DataFrame:
-    written = _scored_lines(t)
-    scoring.assert_scored(written.drop("prediction"), written)
+    path = scratch_path(t.spark, "scored")
+    _scored_lines(t).write.parquet(path)
+    written = t.spark.read.parquet(path)
+    scoring.assert_scored(_lines(t), written)
     return scoring.reconcile(t["lineitem"], written)
+
+
+@query("i2_assert_scored", sql="""
+    SELECT l_orderkey, count(*) AS n, count(CASE WHEN l_partkey % 19 <> 0 AND l_partkey % 1009 <> 0 THEN 1 END) AS scored
+    FROM lineitem GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    out = _scored_lines(t)
+    scoring.assert_scored(_lines(t), out)
+    return out.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count("prediction").alias("scored"))
+
+
+@query("i3_read_model", sql="""
+    SELECT l_linenumber, round(sum(CASE WHEN l_partkey % 19 <> 0 AND l_partkey % 1009 <> 0 THEN l_quantity * l_discount END), 2) AS total
+    FROM lineitem GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    # a model kept as a file, in the one form Spark itself can write: a text of one line in base64
+    path = scratch_path(t.spark, "model")
+    body = base64.b64encode(_example_model()).decode()
+    t.spark.range(1).select(F.lit(body).alias("value")).coalesce(1).write.text(path)
+    model = base64.b64decode(runs.read_model(t.spark, f"{path}/*.txt"))
+    out = scoring.score(_lines(t), model, features=["l_partkey", "l_quantity", "l_discount"], on_error="row")
+    return out.groupBy("l_linenumber").agg(F.round(F.sum("prediction"), 2).alias("total"))

@@ -182,10 +182,12 @@ def _(t: Tables) -> DataFrame:
     return used.select("tenant_id", "running", "max_vcpu", "allocated_vcpu", "utilization_pct")
 
 
-@query("d18_last_success", views="jobs", sql=f"""
-    SELECT tenant_id, pipeline_id, strftime(max(submitted_at), {STAMP}) AS last_success_at FROM jobs WHERE status = 'success' GROUP BY ALL""")
+@query("d18_last_success", views="job_steps", sql=f"""
+    SELECT tenant_id, pipeline_id, strftime(max(started_at), {STAMP}) AS last_success_at FROM job_steps WHERE status = 'success' GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    return dashboards.last_success(v.jobs(t)).withColumn("last_success_at", iso("last_success_at"))
+    # the example jobs are completed when their last step starts
+    done = v.jobs(t).withColumn("completed_at", F.array_max(F.transform("steps", lambda s: s["started_at"])))
+    return dashboards.last_success(done).withColumn("last_success_at", iso("last_success_at"))
 
 
 @query("d19_tenant_count", views="supplier_tenants", sql="SELECT count(*) AS tenant_count FROM supplier_tenants")
@@ -193,6 +195,11 @@ def _(t: Tables) -> DataFrame:
     return dashboards.tenant_count(v.supplier_tenants(t))
 
 
+@query("d19_one_tenant", views="supplier_tenants", sql="SELECT DISTINCT NULL::BIGINT AS tenant_count FROM supplier_tenants")
+def _(t: Tables) -> DataFrame:
+    return dashboards.tenant_count(v.supplier_tenants(t), "supplier-000000001")
+
+
 @query("d20_dashboard_summary", views="definitions job_steps models", sql="""
     SELECT section, key, sum(n)::BIGINT AS n FROM (
       SELECT 'pipelines_by_status' AS section, status AS key, count(*) AS n FROM definitions GROUP BY ALL
@@ -215,7 +222,43 @@ def _(t: Tables) -> DataFrame:
 
 @query("d21_jobs_by_status", views="jobs", sql="SELECT status, count(*) AS n FROM jobs GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return v.jobs(t).groupBy("status").agg(F.count("*").alias("n"))
+    return dashboards.jobs_by_status(v.jobs(t))
+
+
+def _dashboard(t: Tables, tenant: str | None) -> dict[str, DataFrame]:
+    return dashboards.dashboard(v.pipelines(t), v.jobs(t), v.models(t), v.tenants(t), v.audit(t), tenant)
+
+
+@query("d20_dashboard_load", views="tenants job_steps", sql="""
+    SELECT tenant_id, coalesce(running, 0) AS running, coalesce(queued, 0) AS queued
+    FROM tenants LEFT JOIN (
+      SELECT tenant_id, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'idle' AND status IN ('pending', 'running')) AS queued
+      FROM job_steps WHERE type = 'execute_model' GROUP BY ALL) USING (tenant_id)""")
+def _(t: Tables) -> DataFrame:
+    return _dashboard(t, None)["load"].select("tenant_id", "running", "queued")
+
+
+@query("d20_dashboard_recent_jobs", views="jobs", sql="SELECT tenant_id, job_id FROM jobs WHERE tenant_id = 'ASIA' ORDER BY submitted_at DESC, job_id LIMIT 5")
+def _(t: Tables) -> DataFrame:
+    return _dashboard(t, "ASIA")["jobs"].select(*JOB)
+
+
+@query("d20_dashboard_recent_events", views="audit", sql="SELECT event_id, action FROM audit ORDER BY ts DESC, event_id LIMIT 5")
+def _(t: Tables) -> DataFrame:
+    return _dashboard(t, None)["events"].select("event_id", "action")
+
+
+@query("d20_dashboard_tenants", views="tenants", sql="SELECT count(*) AS tenant_count FROM tenants")
+def _(t: Tables) -> DataFrame:
+    return _dashboard(t, None)["tenants"]
+
+
+@query("d20_dashboard_of_one_tenant", views="jobs", sql="""
+    SELECT 'jobs_by_status' AS section, key, sum(n)::BIGINT AS n FROM (
+      SELECT status AS key, count(*) AS n FROM jobs WHERE tenant_id = 'ASIA' AND status IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT unnest(['pending', 'running', 'awaiting_approval', 'success', 'failed', 'cancelled']), 0) GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    return _dashboard(t, "ASIA")["counts"].filter("section = 'jobs_by_status'")
 
 
 @query("d22_share_of_max", views="models", sql="""
@@ -241,7 +284,7 @@ def _(t: Tables) -> DataFrame:
            CASE WHEN row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY started_at DESC, o_orderkey DESC) <= 10 THEN detail END AS detail
     FROM customer_runs""")
 def _(t: Tables) -> DataFrame:
-    trimmed = runs.trim_history(v.customer_runs(t), "started_at", ["detail"], ties=["o_orderkey"], width="month")
+    trimmed = runs.trim_history(v.customer_runs(t), "started_at", ["detail"], keep=10, ties=["o_orderkey"], width="month")
     return trimmed.select(*JOB, "o_orderkey", "final_status", "detail")
 
 
@@ -287,6 +330,17 @@ def _(t: Tables) -> DataFrame:
     return listing.list_pipelines(v.pipelines(t)).select("tenant_id", "pipeline_id", "name", iso("updated_at").alias("updated_at"))
 
 
+@query("f3_definitions_of_one_tenant", views="definitions", sql=f"""
+    SELECT pipeline_id, strftime(updated_at, {STAMP}) AS updated_at FROM definitions WHERE tenant_id = 'ASIA'""")
+def _(t: Tables) -> DataFrame:
+    return listing.list_pipelines(v.pipelines(t), "ASIA").select("pipeline_id", iso("updated_at").alias("updated_at"))
+
+
+@query("f4_models_of_one_tenant", views="part_models", sql="SELECT model_name, version FROM part_models WHERE tenant_id = 'Brand#13'")
+def _(t: Tables) -> DataFrame:
+    return listing.list_models(v.part_models(t), "Brand#13").select("model_name", F.col("version").cast("string").alias("version"))
+
+
 @query("f4_list_models", views="part_models", sql="SELECT tenant_id, model_name, version FROM part_models")
 def _(t: Tables) -> DataFrame:
     listed = listing.list_models(v.part_models(t))
@@ -331,6 +385,12 @@ def _(t: Tables) -> DataFrame:
     return page.select("event_id", "actor", "total", "page", "page_size")
 
 
+@query("f9_page_after", views="audit", sql="""
+    SELECT event_id, actor FROM audit WHERE event_id > 100 ORDER BY event_id LIMIT 20""")
+def _(t: Tables) -> DataFrame:
+    return listing.page_after(v.audit(t), ["event_id"], {"event_id": 100}).select("event_id", "actor")
+
+
 @query("f10_versions", views="part_models", sql="""
     SELECT DISTINCT family AS model_name, version, printf('%04d', length(version)) || version AS version_key FROM part_models""")
 def _(t: Tables) -> DataFrame:
@@ -341,7 +401,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("h4_derive_job_status", views="jobs", sql="""
     SELECT tenant_id, job_id, status, CASE
-             WHEN o % 6 = 5 THEN CASE WHEN status IN ('failed', 'awaiting_approval', 'cancelled') THEN status ELSE 'success' END
+             WHEN status IN ('pending', 'success', 'failed', 'cancelled') THEN status
+             WHEN o % 6 = 5 THEN CASE WHEN status = 'awaiting_approval' THEN status ELSE 'success' END
              WHEN o % 4 = 2 THEN CASE WHEN o % 6 = 3 THEN 'awaiting_approval' ELSE 'running' END
              ELSE status END AS derived
     FROM jobs""")

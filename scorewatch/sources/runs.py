@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import tarfile
 from functools import reduce
 
@@ -11,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewatch.values import DQ_MAX_BYTES
-
 _LISTING_CHUNK = 10_000
 
 
@@ -38,10 +37,10 @@ def read_run_output(spark: SparkSession, prefix: str, schema: T.StructType | Non
 def list_files(spark: SparkSession, prefix: str) -> DataFrame:
     """Path and size of every parquet file under a prefix; file contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    return reader.load(prefix).select("path", F.col("length").alias("bytes"))
+    return reader.load(prefix).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
 
 
-def sample_run_output(spark: SparkSession, prefix: str, max_bytes: int = DQ_MAX_BYTES) -> tuple[DataFrame, dict]:
+def sample_run_output(spark: SparkSession, prefix: str, max_bytes: int) -> tuple[DataFrame, dict]:
     """The files of a run that fit a byte budget, and what was read and skipped.
 
     Files are taken in path order; one that does not fit is skipped and later ones
@@ -86,15 +85,15 @@ def union_outputs(outputs: list[DataFrame]) -> DataFrame:
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
-    """A pickled model from any file system; archives are searched for ``model.pkl``."""
-    found = spark.read.format("binaryFile").load(path).select("content").first()
-    if found is None:
-        raise FileNotFoundError(path)
-    body = bytes(found["content"])
-    if not path.endswith((".tar.gz", ".tgz")):
-        return body
-    with tarfile.open(fileobj=io.BytesIO(body), mode="r:gz") as archive:
-        for member in archive.getmembers():
-            if member.name.endswith("model.pkl"):
-                return archive.extractfile(member).read()
-    raise FileNotFoundError(f"{path} contains no model.pkl")
+    """The pickle at ``path``, or the one member named ``model.pkl`` of a ``.tar.gz`` or ``.tgz``."""
+    files = spark.read.format("binaryFile").load(path).select("content").head(2)
+    if len(files) != 1:
+        raise FileNotFoundError(f"{path}: {len(files)} files instead of one")
+    content = bytes(files[0]["content"])
+    if not path.lower().endswith((".tar.gz", ".tgz")):
+        return content
+    with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+        models = [m for m in archive if m.isfile() and posixpath.basename(m.name) == "model.pkl"]
+        if len(models) != 1:
+            raise FileNotFoundError(f"{path}: {len(models)} members named model.pkl instead of one")
+        return archive.extractfile(models[0]).read()

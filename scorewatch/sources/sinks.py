@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewatch.functions.text import run_prefix as run_prefix_column
-from scorewatch.operators.lookup import lookup_join
-from scorewatch.sources.runs import read_run_output
-from scorewatch.values import IDENTIFIER, LOAD_DATE_COLUMN, LOAD_HISTORY_DAYS, RETENTION_DAYS, RUN_ID_COLUMN
+from scorewatch.sources.runs import list_files
+from scorewatch.values import IDENTIFIER, LOAD_DATE_COLUMN, RETENTION_DAYS, RUN_ID_COLUMN, SOURCE_FILE_COLUMN
 
 
 def run_prefix(base: str, run_date: dt.date, run_id: str) -> str:
@@ -79,51 +78,67 @@ def align_to_target(df: DataFrame, target: T.StructType) -> DataFrame:
 
 
 def load_append(df: DataFrame, target: str, run_id: str, load_date: str) -> int:
-    """Append scored rows with lineage columns to a parquet table; returns rows of this load.
+    """Append scored rows with lineage columns to a parquet table; returns the rows this call added.
 
-    Nothing is ever overwritten. The target must have the lineage columns once it exists.
+    Nothing is ever overwritten. The table is partitioned by load date, so only that day's
+    files are looked at for the count. Safe for one writer at a time. The target must have the lineage
+    columns once it exists; rows that come from no file have a NULL ``_source_file``.
     """
-    spark, rows = df.sparkSession, with_lineage(df, run_id, load_date)
+    return _append(df, F.lit(None).cast("string"), target, run_id, load_date)
+
+
+def _append(df: DataFrame, source: Column, target: str, run_id: str, load_date: str) -> int:
+    spark, day = df.sparkSession, F.col(LOAD_DATE_COLUMN) == F.lit(load_date).cast("date")
+    if SOURCE_FILE_COLUMN.upper() in {c.upper() for c in df.columns}:
+        raise ValueError(f"a column collides with the reserved lineage column {SOURCE_FILE_COLUMN}")
     existing = _read_or_none(spark, target)
+    before = 0 if existing is None else existing.filter(day).count()
+    rows = with_lineage(df.withColumn(SOURCE_FILE_COLUMN, source), run_id, load_date)
     if existing is not None:
         rows = align_to_target(rows, existing.schema)
-    rows.write.mode("append").parquet(target)
-    mine = (F.col(RUN_ID_COLUMN) == run_id) & (F.col(LOAD_DATE_COLUMN) == F.lit(load_date).cast("date"))
-    return spark.read.parquet(target).filter(mine).count()
+    rows.write.mode("append").partitionBy(LOAD_DATE_COLUMN).parquet(target)
+    return spark.read.parquet(target).filter(day).count() - before
 
 
-def not_yet_loaded(files: DataFrame, ledger: DataFrame, as_of: Column, days: int = LOAD_HISTORY_DAYS) -> DataFrame:
-    """Files that were not loaded in the last ``days`` days, each once."""
-    remembered = ledger.filter(F.col("loaded_at") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS")).select("path")
-    return files.dropDuplicates(["path"]).join(remembered, "path", "left_anti")
+def not_yet_loaded(files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Files the ledger does not know, each once. The ledger never forgets."""
+    return files.dropDuplicates(["path"]).join(ledger.select("path").distinct(), "path", "left_anti")
 
 
 def load_files(spark: SparkSession, prefix: str, target: str, ledger_path: str, run_id: str, load_date: str) -> int:
-    """Load a finished run's files that the ledger does not know yet, then note them there.
+    """Load a finished run's files that the ledger does not know, then note them there; returns the rows added.
 
-    Safe for one writer at a time. If a load stops between its two writes, a rerun
-    sees rows of the run that no ledger row accounts for and only completes the ledger.
+    The listing is compared, so files loaded before are not read. Every row keeps the file it came from:
+    where an earlier load stopped between its two writes, files that are in the target
+    already are noted and the others are loaded. Safe for one writer at a time.
     """
-    now, path = F.lit(load_date).cast("timestamp"), F.col("_metadata.file_path")
-    output = read_run_output(spark, prefix)
-    columns = output.columns
-    staged = output.select("*", path.alias("__path"))
-    ledger, loaded = _read_or_none(spark, ledger_path), _read_or_none(spark, target)
-    accounted = False
-    if ledger is not None:
-        recent = ledger.filter(F.col("loaded_at") >= now - F.expr(f"INTERVAL {LOAD_HISTORY_DAYS} DAYS"))
-        staged = lookup_join(staged, recent.select(F.col("path").alias("__path")), ["__path"], "left_anti")
-        accounted = not ledger.filter(F.col("run_id") == run_id).isEmpty()
-    counts = staged.groupBy(F.col("__path").alias("path")).agg(F.count("*").alias("rows_loaded"))
-    present = loaded is not None and not loaded.filter(F.col(RUN_ID_COLUMN) == run_id).isEmpty()
-    if staged.isEmpty():
+    listed = list_files(spark, prefix)
+    ledger = _read_or_none(spark, ledger_path)
+    fresh = listed if ledger is None else not_yet_loaded(listed, ledger)
+    paths = sorted(r["path"] for r in fresh.select("path").collect())
+    if not paths:
         return 0
-    if accounted or not present:
-        load_append(staged.select(*[f"`{c}`" for c in columns]), target, run_id, load_date)
-    noted = counts.select("path", "rows_loaded", F.lit(run_id).alias("run_id"), now.alias("loaded_at"))
+    names = spark.createDataFrame([(p,) for p in paths], "path string")
+    loaded = _read_or_none(spark, target)
+    there: set[str] = set()
+    if loaded is not None:
+        there = {r["path"] for r in _rows_per_file(loaded, run_id).join(F.broadcast(names), "path").select("path").collect()}
+    missing, added = [p for p in paths if p not in there], 0
+    if missing:
+        staged = spark.read.option("mergeSchema", True).parquet(*missing)
+        added = _append(staged, F.col("_metadata.file_path"), target, run_id, load_date)
+    loaded = _read_or_none(spark, target)
+    noted = names.join(_rows_per_file(loaded, run_id), "path", "left").select(
+        "path", F.coalesce("rows_loaded", F.lit(0)).alias("rows_loaded"), F.lit(run_id).alias("run_id"),
+        F.lit(load_date).cast("timestamp").alias("loaded_at"))
     noted.write.mode("append").parquet(ledger_path)
-    mine = spark.read.parquet(ledger_path).filter((F.col("run_id") == run_id) & (F.col("loaded_at") == now))
-    return load_row_total(mine).first()["rows_loaded"]
+    return added
+
+
+def _rows_per_file(loaded: DataFrame, run_id: str) -> DataFrame:
+    """Rows of a run in the target by the file they came from."""
+    rows = loaded.filter((F.col(RUN_ID_COLUMN) == run_id) & F.col(SOURCE_FILE_COLUMN).isNotNull())
+    return rows.groupBy(F.col(SOURCE_FILE_COLUMN).alias("path")).agg(F.count("*").alias("rows_loaded"))
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorewatch.operators.snapshots import first_write_wins, new_snapshots
 
@@ -23,5 +24,7 @@ def record_snapshots(incoming: DataFrame, path: str) -> None:
     table format with transactions.
     """
     stored = read_snapshots(incoming.sparkSession, path)
-    fresh = first_write_wins(incoming) if stored is None else new_snapshots(incoming, stored)
+    # equal times: the rest of the row decides, the same way whenever a task is repeated
+    ties = [F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in sorted(incoming.columns)])]
+    fresh = first_write_wins(incoming, ties=ties) if stored is None else new_snapshots(incoming, stored, ties=ties)
     fresh.write.mode("append").partitionBy("tenant_id").parquet(path)

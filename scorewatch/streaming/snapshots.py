@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scorewatch.operators.quality import dq_report
@@ -34,7 +35,10 @@ def stream_snapshots(
 
     def take_in(batch: DataFrame, _: int) -> None:
         stored = read_snapshots(batch.sparkSession, store)
-        runs = batch.dropDuplicates(RUN_KEYS)
+        # of repeated rows of a run the earliest counts, then the first by content
+        rest = [c for c in batch.columns if c not in RUN_KEYS]
+        first = F.struct("recorded_at", F.to_json(F.struct(*rest)))
+        runs = batch.groupBy(*RUN_KEYS).agg(F.min_by(F.struct(*rest), first).alias("s")).select(*RUN_KEYS, "s.*").select(*batch.columns)
         if stored is not None:
             runs = runs.join(stored.select(*RUN_KEYS), RUN_KEYS, "left_anti")
         runs = runs.persist()

@@ -43,18 +43,17 @@ PSI_FLOOR = 1e-4
 PROPORTION_SUM_RANGE = (0.99, 1.01)
 
 # Other limits.
-DQ_MAX_BYTES = 512 * 1024 * 1024
 STEP_TIMEOUT_SECONDS = 6 * 3600
 VCPU_PER_WORKER = 4
-RUN_DETAIL_KEPT = 10
 RECENT_LIMIT = 5
 SEARCH_LIMIT = 8
-LOAD_HISTORY_DAYS = 64
 RETENTION_DAYS = 90
 
 # Lineage columns added to every loaded row.
 RUN_ID_COLUMN = "_run_id"
 LOAD_DATE_COLUMN = "_load_date"
+# Our own: the file a loaded row came from.
+SOURCE_FILE_COLUMN = "_source_file"
 
 # Accepted text forms.
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_$]*$"

@@ -93,7 +93,7 @@ def job(*states, kinds=("data_pipeline", "execute_model", "approval")):
 @pytest.mark.parametrize("now,states,expected", [
     ("running", ("succeeded", "succeeded", "approved"), "success"),
     ("failed", ("succeeded", "succeeded", "approved"), "failed"),
-    ("pending", ("idle", "idle", "idle"), "running"),
+    ("pending", ("idle", "idle", "idle"), "pending"),
     ("running", ("succeeded", "succeeded", "idle"), "awaiting_approval"),
     ("running", ("succeeded", "running", "idle"), "running"),
     ("failed", ("succeeded", "failed", "idle"), "failed"),

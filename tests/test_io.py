@@ -30,7 +30,7 @@ def test_nested_files_are_united(spark, tmp_path):
 
 def test_no_files_is_an_error(spark, tmp_path):
     (tmp_path / "_SUCCESS").write_text("")
-    for read in (runs.read_run_output, runs.sample_run_output, runs.output_columns):
+    for read in (runs.read_run_output, lambda s, p: runs.sample_run_output(s, p, 1), runs.output_columns):
         with pytest.raises(ValueError, match="No parquet files"):
             read(spark, str(tmp_path))
     with pytest.raises(ValueError, match="No parquet files"):
@@ -78,7 +78,8 @@ def test_loads_append_with_lineage(spark, tmp_path):
     assert sinks.load_append(df, target, "RUN-0007", "2026-07-08") == 1
     assert sinks.load_append(df.withColumnRenamed("prediction", "PREDICTION"), target, "RUN-0008", "2026-07-09") == 1
     out = spark.read.parquet(target)
-    assert out.columns == ["credit_score", "prediction", "_run_id", "_load_date"] and out.count() == 2
+    assert out.columns == ["credit_score", "prediction", "_source_file", "_run_id", "_load_date"] and out.count() == 2
+    assert sinks.load_append(df, target, "RUN-0008", "2026-07-09") == 1
     with pytest.raises(ValueError, match="no column 'extra'"):
         sinks.load_append(df.withColumn("extra", F.lit(1)), target, "RUN-0009", "2026-07-09")
 
@@ -112,18 +113,28 @@ def test_a_replayed_load_adds_nothing(spark, tmp_path):
 
 
 def test_a_load_that_stopped_before_its_ledger_is_completed(spark, tmp_path):
-    uri, _ = sinks.unload_table(spark.range(100).coalesce(1), str(tmp_path / "out"), DAY, "RUN-0001")
+    uri, _ = sinks.unload_table(spark.range(100).repartition(2), str(tmp_path / "out"), DAY, "RUN-0001")
     args = (str(tmp_path / "t"), str(tmp_path / "l"), "RUN-0001", "2026-07-08")
-    sinks.load_append(spark.read.parquet(uri), args[0], "RUN-0001", "2026-07-08")
-    assert sinks.load_files(spark, uri, *args) == 100
-    assert spark.read.parquet(args[0]).count() == 100 and spark.read.parquet(args[1]).count() == 1
+    one = sorted(r["path"] for r in runs.list_files(spark, uri).collect())[0]
+    n = sinks._append(spark.read.parquet(one), F.col("_metadata.file_path"), args[0], "RUN-0001", "2026-07-08")
+    assert sinks.load_files(spark, uri, *args) == 100 - n
+    assert spark.read.parquet(args[0]).count() == 100
+    assert sinks.load_row_total(spark.read.parquet(args[1])).first()["rows_loaded"] == 100
+
+
+def test_rows_of_another_folder_are_not_taken_for_a_load(spark, tmp_path):
+    args = (str(tmp_path / "t"), str(tmp_path / "l"), "RUN-0001")
+    sinks.load_append(spark.range(100), args[0], "RUN-0001", "2026-07-08")
+    uri, _ = sinks.unload_table(spark.range(50), str(tmp_path / "out"), DAY, "RUN-0001")
+    assert sinks.load_files(spark, uri, *args, "2026-07-08") == 50
+    assert sinks.load_files(spark, uri, *args, "2026-10-30") == 0
+    assert spark.read.parquet(args[0]).count() == 150
 
 
-def test_the_ledger_forgets_after_its_days(spark):
-    files = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
-    ledger = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2023, 12, 31))], "path string, loaded_at timestamp")
-    fresh = sinks.not_yet_loaded(files, ledger, F.lit("2024-03-05").cast("timestamp"))
-    assert [r["path"] for r in fresh.collect()] == ["b"]
+def test_the_ledger_never_forgets(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "path string")
+    ledger = spark.createDataFrame([("a", dt.datetime(1999, 1, 1)), ("c", dt.datetime(2024, 1, 1))], "path string, loaded_at timestamp")
+    assert [r["path"] for r in sinks.not_yet_loaded(files, ledger).collect()] == ["b"]
 
 
 def test_retention(spark):

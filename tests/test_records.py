@@ -136,14 +136,14 @@ def test_run_numbers_and_trimmed_history(spark):
     df = spark.createDataFrame(rows, "tenant_id string, job_id string, at timestamp, n long, detail string")
     got = runs.number_runs(df, "at").orderBy("n").collect()
     assert [got[0]["run_id"], got[11]["run_id"]] == ["RUN-0001", "RUN-0012"]
-    kept = runs.trim_history(df, "at", ["detail"]).orderBy("n").collect()
+    kept = runs.trim_history(df, "at", ["detail"], 10).orderBy("n").collect()
     assert [r["detail"] for r in kept][:3] == [None, None, "d2"]
 
 
 def test_trimmed_nested_history(spark):
     history = [(f"r{i}", [("s",)]) for i in range(12)]
     df = spark.createDataFrame([("j", history)], "job_id string, run_history array<struct<run_id:string,steps:array<struct<step_id:string>>>>")
-    got = runs.trim_nested_history(df).first()["run_history"]
+    got = runs.trim_nested_history(df, 10).first()["run_history"]
     assert [h["steps"] is None for h in got] == [True, True] + [False] * 10 and got[0]["run_id"] == "r0"
 
 

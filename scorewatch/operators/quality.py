@@ -24,7 +24,7 @@ from scorewatch.functions.drift import (
     psi,
 )
 from scorewatch.functions.text import stripped
-from scorewatch.operators.lookup import lookup_join
+from scorewatch.operators.lookup import BROADCAST_BYTES, lookup_join
 from scorewatch.operators.ordered import with_last
 from scorewatch.values import (
     MODEL_KEYS,
@@ -61,6 +61,15 @@ def baseline_facts(baselines: DataFrame, columns: list[str]) -> BaselineFacts:
     return BaselineFacts(sorted(row["features"]), row["edges"], row["bytes"])
 
 
+def _baselines_of(manifest: DataFrame, baselines: DataFrame, columns: list[str]) -> tuple[DataFrame, BaselineFacts]:
+    """The baselines and their facts; a table too large to broadcast is first cut to the models that have runs."""
+    facts = baseline_facts(baselines, columns)
+    if facts.wide_bytes <= BROADCAST_BYTES:
+        return baselines, facts
+    cut = baselines.join(manifest.select(*MODEL_KEYS).distinct(), MODEL_KEYS, "left_semi")
+    return cut, baseline_facts(cut, columns)
+
+
 def inspected_columns(manifest: DataFrame, columns: list[str]) -> list[str]:
     """Columns that a null-rate check or a prediction setting names, by one aggregation.
 
@@ -316,7 +325,7 @@ def dq_report(
     column that ``inspect`` leaves out fails, and the error rate of such a prediction is NULL, which
     ``derive_status`` takes as failed.
     """
-    facts = baseline_facts(baselines, scored.columns)
+    baselines, facts = _baselines_of(manifest, baselines, scored.columns)
     if inspect is None:
         inspect = inspected_columns(manifest, scored.columns)
     stats = _run_stats(scored, baselines, facts, [c for c in inspect if c in scored.columns], keys)
@@ -386,7 +395,7 @@ def drift_by_run(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_
 
 def drift_summary(scored: DataFrame, manifest: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
     """Rows, scored features and largest PSI of every run in ``manifest``; 0 without rows or a usable baseline."""
-    facts = baseline_facts(baselines, scored.columns)
+    baselines, facts = _baselines_of(manifest, baselines, scored.columns)
     stats = _run_stats(scored, baselines, facts, [], keys)
     runs = manifest.select(*keys).join(stats, keys, "left")
     runs = lookup_join(runs, baseline_specs(baselines), MODEL_KEYS, small_bytes=facts.wide_bytes)

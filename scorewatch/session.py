@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", app: str = "scorewatch") -> SparkSessio
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app}-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # do not look up the calling line for every column expression
@@ -30,7 +31,7 @@ def local_session(cpus: int | str = "*", app: str = "scorewatch") -> SparkSessio
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder on this machine.
+    Only a local session without that setting (not one of ``local_session``) gets a folder on this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:

@@ -63,6 +63,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start, len(sizes) - start)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], step: int = 64) -> Iterator[dict]:
+    """Rows as dicts, few at a time, so that large values are not held twice over."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            yield from batch.slice(i, step).to_pylist()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; a null one is empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

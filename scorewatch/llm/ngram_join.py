@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import chunks, partitions, record, stored
+from scorewatch.llm.common import chunks, partitions, record, rows_of, stored
 from scorewatch.llm.components import components
 from scorewatch.llm.wordhash import Words, mix, salted, window_hashes, words_of
 
@@ -23,10 +23,13 @@ ORDERS = 2
 # Tokens this often in one task are counted; common ones come last in every order.
 LOCAL_COMMON = 4
 MAX_COMMON = 1 << 20
-# Larger token groups are not paired here; their documents are compared in blocks.
+# Of larger token groups no pairs are listed; their members are compared by bitmaps, up to a size beyond
+# which they are simply tied together. Either way verification decides.
 DENSE = 32
+TIED = 4096
+BITS = 1024
 FLUSH = 1 << 20
-BLOCK = 192
+BLOCK = 96
 COLUMNS = 4096
 
 
@@ -67,7 +70,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         for _, sets in _sets(batches, k):
             held += sets
             size += sum(map(len, sets))
-            if size > 8 * FLUSH:
+            if size > 4 * FLUSH:
                 yield counts()
                 held, size = [], 0
         if held:
@@ -91,21 +94,30 @@ def _ordered(tokens: np.ndarray, order: int, common: tuple[np.ndarray, np.ndarra
     return key
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens that fall on each of ``BITS`` places.
+
+    Two sets differ in at least as many tokens as their bitmaps differ in places.
+    """
+    odd = np.bincount((salted(tokens, 7) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 _LISTED = "bucket int, a long, b long, n int, keys binary, more binary, docs binary, sizes binary"
-_FOUND = "kind int, a long, b long, n int, m int, shared int"
+_FOUND = "kind int, a long, b long, n int, m int, shared int, bits binary"
 # kinds of what is found; pairs of order o have kind o + 1
-DOCUMENT, CLUSTER, COPY = -1, -2, -3
+DOCUMENT, CLUSTER, COPY, MEMBER = -1, -2, -3, -4
 
 
 def _listed(rows: list[tuple], packed: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows that pass through (bucket -1 and below) and packed entries for the buckets."""
+    """Rows that pass through (bucket -1 and below; ``keys`` holds a bitmap) and packed entries for the buckets."""
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
     names = [c.split()[0] for c in _LISTED.split(", ")]
-    full = [(*r, None, None, None, None) for r in rows] + [(b, None, None, None, *x) for b, *x in packed]
+    full = [(*r, None, None, None) for r in rows] + [(b, None, None, None, *x) for b, *x in packed]
     if full:
         yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*full), types)], names=names)
 
@@ -114,8 +126,8 @@ def _index(docs: DataFrame, k: int, percent: int, orders: int, buckets: int, com
     """Per task: documents, copies within the task, stars of dense token groups, and entries packed by bucket.
 
     Bucket numbers run over set fingerprints first and then over each order. Of a token
-    that more than ``DENSE`` documents of the task list, one entry goes on, marked by a
-    negative size, and the rest are tied to it.
+    that very many documents of the task list, one entry goes on, marked by a negative size,
+    and the rest are tied to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -128,7 +140,7 @@ def _index(docs: DataFrame, k: int, percent: int, orders: int, buckets: int, com
             key, doc, size = key[order], doc[order], size[order]
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             count = np.diff(np.concatenate([head, [len(key)]]))
-            dense = np.repeat(count > DENSE, count)
+            dense = np.repeat(count > TIED // 4, count)
             pivot = np.repeat(doc[head], count)
             stars = np.unique(np.stack([doc[dense], pivot[dense]]), axis=1)
             stars = stars[:, stars[0] != stars[1]]
@@ -136,19 +148,19 @@ def _index(docs: DataFrame, k: int, percent: int, orders: int, buckets: int, com
             keep[head] = True
             size = np.where(dense, -size, size)
             bucketed = list(_pack_entries((o + 1) * buckets, buckets, key[keep], doc[keep], size[keep]))
-            yield from _listed([(CLUSTER, int(a), int(b), None) for a, b in stars.T], bucketed)
+            yield from _listed([(CLUSTER, int(a), int(b), None, None) for a, b in stars.T], bucketed)
 
     def run(batches):
         known, prints, lists, size = {}, [], [[] for _ in range(orders)], 0
         for batch, sets in _sets(batches, k):
             rows = []
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), sets):
-                rows.append((DOCUMENT, doc, None, len(tokens)))
+                rows.append((DOCUMENT, doc, None, len(tokens), _bitmap(tokens)))
                 if doc is None or not len(tokens):
                     continue
                 mark = (int(np.bitwise_xor.reduce(salted(tokens, 3))), int(salted(tokens, 5).sum(dtype=np.uint64)), len(tokens))
                 if mark in known:
-                    rows.append((COPY, doc, known[mark], None))
+                    rows.append((COPY, doc, known[mark], None, None))
                     continue
                 known[mark] = doc
                 prints.append((mark[0], mark[1], doc, len(tokens)))
@@ -183,10 +195,10 @@ def _pack_entries(base, buckets, key, doc, size, more=None):
 
 def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
     """What meets in each bucket: copies, pairs of small token groups with how many tokens they share, stars of dense ones."""
-    def found(kind, a, b, n=None, m=None, shared=None):
-        cols = [[kind] * len(a) if isinstance(kind, int) else kind, a, b, *[[None] * len(a) if x is None else x for x in (n, m, shared)]]
+    def found(kind, a, b, n=None, m=None, shared=None, bits=None):
+        cols = [[kind] * len(a) if isinstance(kind, int) else kind, a, b, *[[None] * len(a) if x is None else x for x in (n, m, shared, bits)]]
         return record({c.split()[0]: (x, t) for c, x, t in zip(
-            _FOUND.split(", "), cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))})
+            _FOUND.split(", "), cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))})
 
     def copies(rows):
         x, y, doc = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("more", "<u8"), ("docs", "<i8")))
@@ -203,8 +215,11 @@ def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
         key, doc, size = key[order], doc[order], size[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.concatenate([head, [len(key)]]))
-        dense = (count > DENSE) | (np.minimum.reduceat(size, head) < 0) & (count > 1)
-        in_dense = np.repeat(dense, count)
+        tied = (count > TIED) | (np.minimum.reduceat(size, head) < 0) & (count > 1)
+        dense = tied | (count > DENSE)
+        listed = np.repeat(dense & ~tied, count)
+        yield found(MEMBER, doc[listed], salted(key[listed], kind).view(np.int64), size[listed])
+        in_dense = np.repeat(tied, count)
         stars = np.unique(np.stack([doc[in_dense], np.repeat(doc[head], count)[in_dense]]), axis=1)
         stars = stars[:, stars[0] != stars[1]]
         yield found(CLUSTER, stars[0], stars[1])
@@ -236,7 +251,8 @@ def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
         for batch in batches:
             own = batch.filter(pc.less(batch.column("bucket"), 0))
             if own.num_rows:
-                yield found(*(own.column(c).to_pylist() for c in ("bucket", "a", "b", "n")))
+                columns = [own.column(c).to_pylist() for c in ("bucket", "a", "b", "n", "keys")]
+                yield found(*columns[:4], bits=columns[4])
             for r in batch.filter(pc.greater_equal(batch.column("bucket"), 0)).to_pylist():
                 if r["bucket"] != bucket:
                     if rows:
@@ -249,6 +265,53 @@ def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
     return listed.mapInArrow(run, _FOUND)
 
 
+def _tie_similar(members: DataFrame, percent: int) -> DataFrame:
+    """Ties of each token group (``token``) between documents whose sizes and bitmaps allow a link, as a forest."""
+    def ties(rows):
+        docs = np.array([r["a"] for r in rows])
+        n = np.array([r["n"] for r in rows], np.int64)
+        bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)
+        root, seen = np.arange(len(rows)), np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            wave = [] if seen[i] else [i]
+            while len(wave):
+                seen[wave] = True
+                root[wave] = i
+                rest = np.flatnonzero(~seen)
+                if not len(rest):
+                    break
+                near = np.zeros(len(rest), bool)
+                for w in wave:
+                    open_ = np.flatnonzero(~near)
+                    x = rest[open_]
+                    differ = np.bitwise_count(bits[x] ^ bits[w]).sum(1)
+                    # a link of n and m shingles differs in at most (100 - percent) / (100 + percent) of n + m
+                    near[open_] = ((100 + percent) * differ <= (100 - percent) * (n[x] + n[w])) & (
+                        100 * np.minimum(n[x], n[w]) >= percent * np.maximum(n[x], n[w]))
+                wave = rest[near]
+        late = root != np.arange(len(rows))
+        return docs[late], docs[root[late]]
+
+    def run(batches):
+        token, rows = None, []
+
+        def out():
+            a, b = ties(rows)
+            return record({"a": (a, pa.int64()), "b": (b, pa.int64())})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["token"] != token:
+                    if rows:
+                        yield out()
+                    token, rows = r["token"], []
+                rows.append(r)
+        if rows:
+            yield out()
+
+    return members.mapInArrow(run, "a long, b long")
+
+
 def _verify(members: DataFrame, percent: int) -> DataFrame:
     """Links of each group of ``members`` (``cluster``, ``left``, ``right``; a document is in block ``mine``), as a spanning forest."""
     def links(rows):
@@ -299,14 +362,13 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
             found = [x for x in links(rows) if x[0] != x[1]]
             return record({"a": ([x for x, _ in found], pa.int64()), "b": ([y for _, y in found], pa.int64())})
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["cluster"], r["left"], r["right"])
-                if key != group:
-                    if len(rows) > 1:
-                        yield out()
-                    group, rows = key, []
-                rows.append(r)
+        for r in rows_of(batches):
+            key = (r["cluster"], r["left"], r["right"])
+            if key != group:
+                if len(rows) > 1:
+                    yield out()
+                group, rows = key, []
+            rows.append(r)
         if len(rows) > 1:
             yield out()
 
@@ -346,7 +408,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = O
     passed = pairs.withColumn("__need", _needed(percent))
     for o in range(orders):
         passed = passed.filter(F.col(f"s{o}") >= F.col("__need"))
-    edges = passed.select("a", "b").unionByName(found.filter(F.col("kind") == CLUSTER).select("a", "b").distinct())
+    bitmaps = found.filter((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).select("a", "n", "bits").distinct()
+    dense = found.filter(F.col("kind") == MEMBER).select("a", F.col("b").alias("token"), "n").join(bitmaps, ["a", "n"])
+    ties = stored(_tie_similar(dense.repartition(partitions(spark), "token").sortWithinPartitions("token", "a"), percent), "ties")
+    tied = found.filter(F.col("kind") == CLUSTER).select("a", "b").unionByName(ties).distinct()
+    edges = passed.select("a", "b").unionByName(tied)
     to = copied.select(F.col("node").alias("__node"), "component")
     for c in ("a", "b"):
         edges = edges.join(to.withColumnRenamed("__node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")

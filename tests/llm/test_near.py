@@ -66,7 +66,7 @@ def corpus(seed):
     return out + [out[7], (None, rows[5], None, None), (None, None, None, None)]
 
 
-@pytest.mark.parametrize("seed,changes", [(1, {}), (2, {"FLUSH": 300, "DENSE": 3, "BLOCK": 16, "COLUMNS": 64, "LOCAL_COMMON": 2}), (3, {"FLUSH": 2000, "DENSE": 8, "LOCAL_COMMON": 10**9})])
+@pytest.mark.parametrize("seed,changes", [(1, {}), (2, {"FLUSH": 300, "DENSE": 3, "BLOCK": 16, "COLUMNS": 64, "LOCAL_COMMON": 2}), (3, {"FLUSH": 2000, "DENSE": 8, "LOCAL_COMMON": 10**9}), (4, {"DENSE": 4, "TIED": 12, "LOCAL_COMMON": 10**9})])
 def test_join_against_brute_force(spark, monkeypatch, seed, changes):
     for name, value in changes.items():
         monkeypatch.setattr(j, name, value)

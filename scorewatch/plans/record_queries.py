@@ -10,7 +10,7 @@ from scorewatch.operators import audit, dashboards, governance, listing, runs
 from scorewatch.plans import views as v
 from scorewatch.plans.registry import iso, joined, query
 from scorewatch.plans.views import Tables
-from scorewatch.values import JOB_STATUSES, MODEL_STAGES, PIPELINE_STATUSES
+from scorewatch.values import JOB_STATUSES, MODEL_STAGES
 
 JOB = ["tenant_id", "job_id"]
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"

@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 
 from scorewatch.session import scratch_path
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffle files go when it is done, and Python gets smaller batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 CHUNK_BYTES = 2 * 1024 * 1024
 CHUNK_ROWS = 1024
 
@@ -23,12 +27,14 @@ def store(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     write are released as soon as it has ended.
     """
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 

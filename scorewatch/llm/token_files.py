@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import chunks, partitions, record, store, stored, texts_of
+from scorewatch.llm.common import chunks, partitions, record, rows_of, store, stored, texts_of
 from scorewatch.llm.tokenizing import encode
 
 BLOCK_TOKENS = 1 << 18
@@ -32,64 +32,55 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The values of ``pack``: byte counts come from a table, bytes by one gather per position."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count].astype(np.int64)
+def unpack(control: bytes, data: bytes, counts: list[int]) -> np.ndarray:
+    """The values of streams of ``pack``, one after the other: byte counts come from a table, bytes by one gather per position."""
+    counts = np.asarray(counts, np.int64)
+    slots = -(-counts // 4) * 4  # a stream fills its last control byte
+    place = np.arange(slots.sum()) - np.repeat(np.cumsum(slots) - slots, slots)
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[place < np.repeat(counts, slots)].astype(np.int64)
     starts = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(count, np.uint32)
-    for i in range(4):
-        has = lengths > i
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[starts].astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
+    for i in range(1, 4):
+        has = np.flatnonzero(lengths > i)
         out[has] |= raw[starts[has] + i].astype(np.uint32) << np.uint32(8 * i)
     return out
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32 bits) of every text and the end id."""
+    """``doc_id`` and ``ids`` of every text and the end id; and per task one row of how often each id occurred.
+
+    ``ids`` has its width as first byte: 16 bits an id where all fit, else 32. The rows of counts have
+    ``used`` and ``counts`` instead.
+    """
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in chunks(batches):
-            ids = [np.concatenate([x, end]) for x in encode(tokenizer, texts_of(batch))]
-            yield record({
-                "doc_id": (batch.column("doc_id"), pa.int64()),
-                "n_tokens": ([len(x) for x in ids], pa.int64()),
-                "ids": ([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-            })
+        total = np.zeros(0, np.int64)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+        def rows(doc, ids, used, counts):
+            return record({
+                "doc_id": (doc, pa.int64()), "ids": (ids, pa.binary()),
+                "used": (used, pa.list_(pa.int64())), "counts": (counts, pa.list_(pa.int64()))})
 
+        for batch in chunks(batches):
+            ids = [np.concatenate([x, end]) for x in encode(tokenizer, texts_of(batch))]
+            n = np.bincount(np.concatenate(ids))
+            total, n = (np.pad(x, (0, max(len(total), len(n)) - len(x))) for x in (total, n))
+            total = total + n
+            narrow = [b"\2" + x.astype("<u2").tobytes() if x.max() < 65536 else b"\4" + x.tobytes() for x in ids]
+            yield rows(batch.column("doc_id"), narrow, [None] * len(ids), [None] * len(ids))
+        used = np.flatnonzero(total)
+        yield rows([None], [None], [used], [total[used]])
 
-def _narrow(tokens: DataFrame) -> DataFrame:
-    """Ids in 16 bits where all fit, to keep the intermediate table small (first byte: width)."""
-    def run(batches):
-        for b in batches:
-            rows = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
-            small = [b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\4" + x.tobytes() for x in rows]
-            yield record({"doc_id": (b.column("doc_id"), pa.int64()), "ids": (small, pa.binary())})
-    return tokens.mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, used array<long>, counts array<long>")
 
 
 def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
 
 
-def _count_ids(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs, added up in each task before anything is shuffled."""
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for raw in b.column("ids").to_pylist():
-                n = np.bincount(_wide(raw))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield record({"id": (used, pa.int64()), "n": (total[used], pa.int64())})
-    return tokens.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode all documents into ``path/ranks`` and ``path/blocks``, in ascending ``doc_id`` order.
 
@@ -101,8 +92,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     whose number the tokenizer bounds, reach the driver.
     """
     spark = docs.sparkSession
-    tokens = stored(_narrow(tokenize(docs, tokenizer, end_id)), "tokens")
-    counts = _count_ids(tokens).orderBy(F.desc("n"), "id").collect()
+    made = stored(tokenize(docs, tokenizer, end_id), "tokens")
+    tokens = made.filter("used IS NULL").select("doc_id", "ids")
+    each = made.filter("used IS NOT NULL").select(F.inline(F.arrays_zip("used", "counts")))
+    counts = each.groupBy(F.col("used").alias("id")).agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "id").collect()
     ids = np.array([r["id"] for r in counts], np.int64)
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
@@ -110,43 +103,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(rank_of)
 
-    def code(batches):
-        for b in batches:
-            rows = [shared.value[_wide(raw)] for raw in b.column("ids").to_pylist()]
-            packed = [pack(r) for r in rows]
-            yield record({
-                "doc_id": (b.column("doc_id"), pa.int64()),
-                "n_tokens": ([len(r) for r in rows], pa.int64()),
-                "control": ([c for c, _ in packed], pa.binary()),
-                "data": ([d for _, d in packed], pa.binary()),
-            })
-
     def block(batches):
         part, seq, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def out():
             return record({
                 "part": ([part], pa.int32()), "seq": ([seq], pa.int64()), "start": ([start], pa.int64()),
-                "doc_ids": ([[r["doc_id"] for r in held]], pa.list_(pa.int64())),
-                "lengths": ([[r["n_tokens"] for r in held]], pa.list_(pa.int64())),
+                "doc_ids": ([[d for d, *_ in held]], pa.list_(pa.int64())),
+                "lengths": ([[n for _, n, *_ in held]], pa.list_(pa.int64())),
                 "n_tokens": ([size], pa.int64()),
-                "control": ([b"".join(r["control"] for r in held)], pa.binary()),
-                "data": ([b"".join(r["data"] for r in held)], pa.binary()),
-                "data_sizes": ([[len(r["data"]) for r in held]], pa.list_(pa.int64())),
+                "control": ([b"".join(c for _, _, c, _ in held)], pa.binary()),
+                "data": ([b"".join(x for *_, x in held)], pa.binary()),
+                "data_sizes": ([[len(x) for *_, x in held]], pa.list_(pa.int64())),
             })
 
-        for b in batches:
-            for r in b.to_pylist():
-                if held and size + r["n_tokens"] > BLOCK_TOKENS:
-                    yield out()
-                    seq, start, held, size = seq + 1, start + size, [], 0
-                held.append(r)
-                size += r["n_tokens"]
+        for r in rows_of(batches):
+            ranked = shared.value[_wide(r["ids"])]
+            if held and size + len(ranked) > BLOCK_TOKENS:
+                yield out()
+                seq, start, held, size = seq + 1, start + size, [], 0
+            held.append((r["doc_id"], len(ranked), *pack(ranked)))
+            size += len(ranked)
         if held:
             yield out()
 
-    coded = tokens.mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary")
-    ordered = coded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "data")
+    ordered = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = ordered.mapInArrow(block, (
         "part int, seq long, start long, doc_ids array<long>, lengths array<long>, n_tokens long, "
         "control binary, data binary, data_sizes array<long>"
@@ -169,21 +150,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     placed = blocks.join(F.broadcast(offsets), "part").withColumn("start", F.col("start") + F.col("__before"))
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                start, c, d, rows = r["start"], 0, 0, []
-                for doc, n, size in zip(r["doc_ids"], r["lengths"], r["data_sizes"]):
-                    quads = -(-n // 4)
-                    ids = id_of.value[unpack(r["control"][c:c + quads], r["data"][d:d + size], n)]
-                    rows.append((doc, start, n, ids.astype("<u4").tobytes()))
-                    start, c, d = start + n, c + quads, d + size
-                doc, begin, n, ids = zip(*rows)
-                yield record({
-                    "doc_id": (doc, pa.int64()), "start": (begin, pa.int64()),
-                    "n_tokens": (n, pa.int64()), "ids": (ids, pa.binary()),
-                })
-
-    wanted = ["start", "doc_ids", "lengths", "control", "data", "data_sizes"]
+        for r in rows_of(batches, 1):
+            n = np.array(r["lengths"], np.int64)
+            ids = id_of.value[unpack(r["control"], r["data"], n)].astype("<u4")
+            ends = np.cumsum(n)
+            yield record({
+                "doc_id": (r["doc_ids"], pa.int64()), "start": (r["start"] + ends - n, pa.int64()), "n_tokens": (n, pa.int64()),
+                "ids": ([ids[b - k:b].tobytes() for b, k in zip(ends, n)], pa.binary()),
+            })
+
+    wanted = ["start", "doc_ids", "lengths", "control", "data"]
     return placed.select(*wanted).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

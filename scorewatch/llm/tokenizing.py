@@ -17,8 +17,10 @@ _UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,;:!?]|\Z)| ?\S+|\s+(?!\S
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _SAFE_CUT = re.compile(r"(?<=[^\s']) (?=[^\s])")
 PIECE_CHARS = 1 << 18
-MEMO_UNITS = 250_000
+MEMO_UNITS = 400_000
 UNIT_CHARS = 64
+# The same for a vocabulary that drops white space, over a lower-cased text of Latin-1 letters.
+_LOWER_UNIT = re.compile(r"[a-zà-öø-ÿ]+(?=[ \n.,;:!?]|\Z)|\S+")
 # A unit of letters alone is one item for the merges.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
@@ -78,7 +80,8 @@ class _Encoder:
     def piece(self, text: str) -> bytes:
         if _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        units = _UNIT.findall(text)
+        # lower case is letter by letter up to U+00FF, and such text has no other composed form
+        units = _LOWER_UNIT.findall(text.lower()) if self.lower and max(text) <= "ÿ" else _UNIT.findall(text)
         parts = list(map(self.young.get, units))
         if None in parts:
             missing = {u for u, p in zip(units, parts) if p is None}

@@ -17,7 +17,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = [
     "a  b", " x ", "\n\n a", "foo 's it's", "don't stop's", "a\t\tb", " ", " \n ", "αβ word", "word́ x", "12 34,56.7",
     "<|endoftext|> x", "l'été.  Où? à", "a,b;c!d", "a\x85b　c", "\x1c sep\x1d", "🙂🙂 ok", "tab\tword, \nnew", "ABC 'S x' s",
-    "ver  \n  y. ", "éa zß.ǅ ﬁ", "x" * 300, "the cat " * 400,
+    "ver  \n  y. ", "éa zß.ǅ ﬁ", "ÀÉÖØÞ Ÿ ß×÷ ÇA, ÀB.", "MiXeD Cc.\nThe the", "x" * 300, "the cat " * 400,
 ]
 ROWS = [(i, t, "z") for i, t in enumerate(ODD)] + [(100, None, "z"), (101, "", "z"), (7, ODD[7], "z"), (None, "no id", None)]
 SCHEMA = "doc_id long, text string, ids string"
@@ -58,7 +58,8 @@ def test_codes_of_any_width():
         v = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
         control, data = token_files.pack(v)
         assert len(control) == -(-n // 4)
-        assert (token_files.unpack(control, data, n) == v).all()
+        assert (token_files.unpack(control, data, [n]) == v).all()
+        assert (token_files.unpack(control * 2, data * 2, [n, n]) == np.concatenate([v, v])).all()
 
 
 def test_token_files(spark, tmp_path, monkeypatch):

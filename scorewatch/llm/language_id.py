@@ -21,10 +21,19 @@ GRAMS = (1, 2, 3)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 CENTROIDS = 4
+# A centroid of fewer texts of its language than this share is an odd text, not a kind of text, and is dropped.
+CENTROID_SHARE = 0.02
 SAMPLE_PER_LANGUAGE = 500
-# A text is rejected if its best cosine is lower than all but this share of the sample's.
-REJECT_SHARE = 0.001
-REJECT_SLACK = 0.5
+# A text is rejected if its best cosine is below this part of what all but a small share of the learned texts
+# of its length and nearest language reach. Cosines grow with length, so each doubling of the bytes is a class.
+REJECT_SHARE = 0.01
+REJECT_SLACK = 0.75
+LENGTHS = 24
+# Very short texts say little: they get half.
+SHORT_BYTES, SHORT_SLACK = 64, 0.5
+# A class with fewer texts has no quantile of its own.
+LEAST_TEXTS = 100
+STEPS = 1000
 
 
 def gram_counts(texts: pa.Array) -> np.ndarray:
@@ -54,27 +63,59 @@ def gram_counts(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Unit centroids with their languages, bin weights, and the least cosine that is accepted."""
+    """Unit centroids with their languages, bin weights, and the least cosines that are accepted, by language and length class."""
 
     langs: list[str]
     centroids: np.ndarray
     lang_of: np.ndarray
     idf: np.ndarray
-    least: float
+    least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language, and the best cosine, of each text."""
-        cosine = self.vectors(gram_counts(texts)) @ self.centroids.T
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the best language, the best cosine, and the length class of each text."""
+        counts = gram_counts(texts)
+        cosine = self.vectors(counts) @ self.centroids.T
         best = np.argmax(cosine, axis=1)
-        return self.lang_of[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
+        return self.lang_of[best], np.clip(cosine[np.arange(len(best)), best], 0, 1), length_class(counts)
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """Power of two of the bytes in words and one blank before each, which are as many as the 1-grams."""
+    size = counts.sum(1, dtype=np.float64) / len(GRAMS)
+    return np.clip(np.log2(np.maximum(size, 1)).astype(np.int64), 0, LENGTHS - 1)
+
+
+def limits(seen: np.ndarray) -> np.ndarray:
+    """Least cosines by language and length class, from counts of texts by language, class and cosine in steps.
+
+    A class with few texts of a language takes the limit of all languages, and if these have few as well, that
+    of the classes around it that have enough together.
+    """
+    def quantile(n: np.ndarray) -> float:
+        return float(np.searchsorted(np.cumsum(n), REJECT_SHARE * n.sum(), side="right")) / STEPS
+
+    every = seen.sum(0)
+    out = np.zeros(seen.shape[:2])
+    for lang, own in enumerate(seen):
+        for at in range(LENGTHS):
+            if own[at].sum() >= LEAST_TEXTS:
+                out[lang, at] = quantile(own[at])
+                continue
+            near = 0
+            while near < LENGTHS and every[max(at - near, 0):at + near + 1].sum() < LEAST_TEXTS:
+                near += 1
+            out[lang, at] = quantile(every[max(at - near, 0):at + near + 1].sum(0))
+    # of few texts in all, centroids are the texts themselves, which new ones cannot reach
+    few = every.sum() < LEAST_TEXTS
+    return out * np.where(few | (2.0 ** np.arange(LENGTHS) < SHORT_BYTES), SHORT_SLACK, REJECT_SLACK)
 
 
 def _cluster(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means from spread starting points; at most ``k`` unit centroids."""
+    """Spherical k-means from spread starting points; at most ``k`` unit centroids, none of odd texts alone."""
     picks = [0]
     nearest = v @ v[0]
     while len(picks) < min(k, len(v)):
@@ -85,7 +126,8 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
         own = np.argmax(v @ c.T, axis=1)
         c = np.stack([v[own == i].sum(0) if (own == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    texts = np.bincount(np.argmax(v @ c.T, axis=1), minlength=len(c))
+    return c[texts >= min(CENTROID_SHARE * len(v), texts.max())]
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> Model | None:
@@ -93,7 +135,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
 
     Document frequencies of the bins are counted over all of them; the centroids are fitted on at most
     ``sample`` documents per language, the first in a fixed random order. Frequencies are ``BINS`` numbers and the
-    sample is bounded, so the driver holds no more at any size. ``None`` if there is no such row.
+    sample is bounded, so the driver holds no more at any size. What cosine a text of some length must reach is
+    learned from all of them again, by counts of cosines. ``None`` if there is no such row.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long"), "text", "lang")
 
@@ -121,15 +164,28 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
     by_lang: dict[str, list] = {}
     for lang, raw in sorted(zip(rows.column("lang").to_pylist(), rows.column("counts").to_pylist())):
         by_lang.setdefault(lang, []).append(np.frombuffer(raw, "<u4"))
-    model = Model(sorted(by_lang), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64), idf.astype(np.float32), 0.0)
-    parts, cosines = [], []
+    model = Model(sorted(by_lang), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64), idf.astype(np.float32), np.zeros((0, LENGTHS)))
+    parts = []
     for lang in model.langs:
         v = model.vectors(np.array(by_lang[lang][:sample], np.float32))
         parts.append(_cluster(v, centroids))
-        cosines.append((v @ parts[-1].T).max(1))
     model.centroids = np.concatenate(parts).astype(np.float32)
     model.lang_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    model.least = REJECT_SLACK * float(np.quantile(np.concatenate(cosines), REJECT_SHARE))
+    shape = (len(model.langs), LENGTHS, STEPS + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def reached(batches):
+        seen = np.zeros(np.prod(shape), np.int64)
+        for batch in chunks(batches):
+            lang, cosine, length = shared.value.predict(batch.column("text"))
+            np.add.at(seen, np.ravel_multi_index((lang, length, (cosine * STEPS).astype(np.int64)), shape), 1)
+        at = np.flatnonzero(seen)
+        yield record({"at": (at, pa.int64()), "n": (seen[at], pa.int64())})
+
+    cosines = known.mapInArrow(reached, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(np.prod(shape), np.int64)
+    seen[cosines.column("at").to_numpy()] = cosines.column("n").to_numpy()
+    model.least = limits(seen.reshape(shape))
     return model
 
 
@@ -141,16 +197,16 @@ def _predicted(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], n
     if model is None:
         letter[:] = False
         return [UNKNOWN] * len(letter), np.zeros(len(letter)), ~letter
-    best, score = model.predict(text)
+    best, score, length = model.predict(text)
     lang = [model.langs[b] if has else UNKNOWN for b, has in zip(best, letter)]
-    return lang, np.where(letter, score, 0.0), ~letter | (score < model.least)
+    return lang, np.where(letter, score, 0.0), ~letter | (score < model.least[best, length])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id`` with ``lang_pred``, ``score`` (best cosine) and ``rejected`` for every row.
 
     ``lang_pred`` is the language of the nearest centroid, ``und`` where the text is null or has no
-    letter (score 0). ``rejected``: ``und``, or farther from every centroid than learned texts are. Ties
+    letter (score 0). ``rejected``: ``und``, or clearly farther from every centroid than learned texts of its length are. Ties
     go to the first language by name. Only the text is looked at. Without a model all are ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -119,3 +119,30 @@ def test_no_letter_is_unknown(spark, text, unknown):
     assert len(got) == 2 and all((r["lang_pred"] == "und") == unknown for r in got)
     assert lang.keep_known(asked, model).columns == asked.columns
     assert unknown is False or lang.keep_known(asked, model).count() == 0
+
+
+FOREIGN = [
+    "La mattina il mercato della città era pieno di gente che comprava frutta, verdura e pane fresco. Un vecchio signore raccontava ai bambini "
+    "la storia del ponte antico, mentre le donne parlavano del tempo e della prossima festa del paese vicino al fiume.",
+    "Aamulla kaupungin torilla oli paljon ihmisiä, jotka ostivat hedelmiä, vihanneksia ja tuoretta leipää. Vanha mies kertoi lapsille tarinan "
+    "vanhasta sillasta, kun naiset puhuivat säästä ja seuraavasta juhlasta joen rannalla olevassa kylässä.",
+    "Rano na rynku w mieście było wielu ludzi, którzy kupowali owoce, warzywa i świeży chleb. Starszy pan opowiadał dzieciom historię starego "
+    "mostu, a kobiety rozmawiały o pogodzie i o najbliższym święcie we wsi nad rzeką, gdzie mieszkała ich rodzina.",
+]
+
+
+def strange_texts():
+    rng = np.random.default_rng(5)
+    out = list(FOREIGN)
+    for letters in ("bcdfghjklmnpqrstvwxz", "0123456789abcdef"):
+        out += [" ".join("".join(rng.choice(list(letters), rng.integers(3, 10))) for _ in range(n)) for n in (30, 60, 120, 400)]
+    return out
+
+
+def test_foreign_and_random_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.filter("doc_id % 5 = 0 AND lang IS NOT NULL AND text IS NOT NULL")
+    model = lang.learn(docs.filter("doc_id % 5 <> 0"))
+    asked = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(strange_texts())], SCHEMA)
+    assert [(r["doc_id"], r["score"]) for r in lang.identify(asked, model).collect() if not r["rejected"]] == []
+    assert np.mean([r["rejected"] for r in lang.identify(held, model).collect()]) < 0.02

@@ -134,7 +134,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
     """Fit on rows with a text, a letter and a ``lang``.
 
     Document frequencies of the bins are counted over all of them; the centroids are fitted on at most
-    ``sample`` documents per language, the first in a fixed random order. Frequencies are ``BINS`` numbers and the
+    ``sample`` documents per language, those with the lowest hashes of ``doc_id``. Frequencies are ``BINS`` numbers and the
     sample is bounded, so the driver holds no more at any size. What cosine a text of some length must reach is
     learned from all of them again, by counts of cosines. ``None`` if there is no such row.
     """
@@ -155,14 +155,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
     def counted(batches):
         for batch in chunks(batches):
             counts = gram_counts(batch.column("text"))
-            yield record({"lang": (batch.column("lang"), pa.string()), "counts": ([c.astype("<u4").tobytes() for c in counts], pa.binary())})
+            yield record({
+                "lang": (batch.column("lang"), pa.string()), "place": (batch.column("place"), pa.int64()),
+                "hash": (batch.column("hash"), pa.int64()), "counts": ([c.astype("<u4").tobytes() for c in counts], pa.binary())})
 
     share = known.groupBy("lang").agg(F.count("*").alias("__n"))
-    drawn = known.join(F.broadcast(share), "lang").filter(
-        F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.lit(1.3 * sample * (1 << 20)) / F.col("__n"))
-    rows = drawn.select("lang", "text").mapInArrow(counted, "lang string, counts binary").toArrow()
+    # the whole hash decides between equal places, and the counts between equal ids
+    hashed = known.withColumn("hash", F.xxhash64("doc_id", F.lit("sample"))).withColumn("place", F.pmod("hash", F.lit(1 << 20)))
+    drawn = hashed.join(F.broadcast(share), "lang").filter(F.col("place") < F.lit(1.3 * sample * (1 << 20)) / F.col("__n"))
+    rows = drawn.select("lang", "place", "hash", "text").mapInArrow(counted, "lang string, place long, hash long, counts binary").toArrow()
     by_lang: dict[str, list] = {}
-    for lang, raw in sorted(zip(rows.column("lang").to_pylist(), rows.column("counts").to_pylist())):
+    for lang, _, _, raw in sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "place", "hash", "counts")))):
         by_lang.setdefault(lang, []).append(np.frombuffer(raw, "<u4"))
     model = Model(sorted(by_lang), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64), idf.astype(np.float32), np.zeros((0, LENGTHS)))
     parts = []

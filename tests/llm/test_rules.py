@@ -146,3 +146,16 @@ def test_foreign_and_random_texts_are_rejected(spark):
     asked = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(strange_texts())], SCHEMA)
     assert [(r["doc_id"], r["score"]) for r in lang.identify(asked, model).collect() if not r["rejected"]] == []
     assert np.mean([r["rejected"] for r in lang.identify(held, model).collect()]) < 0.02
+
+
+def test_sample_does_not_depend_on_length(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(lang, "_cluster", lambda v, k: drawn.append(v) or v[:1])
+    # every text has its own mark by which it is found again in the bins
+    rows = [(i, " ".join([f"mark{i}"] + ["und die katze"] * (1 if i % 2 else 200)), "de", "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = lang.learn(docs, sample=100)
+    order = docs.selectExpr("doc_id", "text", "xxhash64(doc_id, 'sample') AS h").collect()
+    first = sorted(order, key=lambda r: (r["h"] % 2**20, r["h"]))[:100]
+    want = model.vectors(lang.gram_counts(pa.array([r["text"] for r in first])))
+    assert np.allclose(drawn[0], want, atol=1e-6)

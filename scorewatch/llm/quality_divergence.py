@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import chunks, record, texts_of
@@ -28,6 +28,7 @@ _IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in _SYMBOLS])
 REPEAT_WINDOW = 8
 # A word is a candidate for the common ones of a task if it is one in so many words.
 TASK_SHARE = 5000
+TOP_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -79,9 +80,10 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
     """References from all documents with a language.
 
     Character classes are counted in full. A task reports the words that are at least one in
-    ``TASK_SHARE`` of its words of a language, with their counts; the most frequent become
-    the common words. What reaches the driver is bounded by languages times task-independent
-    table sizes. No document with a language gives no references.
+    ``TASK_SHARE`` of its words of a language; the ``TASK_SHARE`` reported most are candidates, which hold every word
+    that is two in ``TASK_SHARE`` of all, however the table is split. Candidates are counted over all rows again, and
+    the most frequent become the common words. What reaches the driver is bounded by languages times
+    task-independent table sizes. No document with a language gives no references.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[np.ndarray, list]] = {}
@@ -108,22 +110,53 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
 
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     sums = known.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    # the most frequent words of each language, at most common_words of them
-    top = sums.groupBy("lang", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "key")), False), 1, max(CLASSES, rules.common_words)).alias("top"))
-    found = {(r["lang"], r["kind"]): r["top"] for r in top.collect()}
+    found: dict[tuple[str, int], list] = {}
+    for r in _top(sums, max(CLASSES, rules.common_words, TASK_SHARE)).collect():
+        found.setdefault((r["lang"], r["kind"]), []).append(r)
+    candidates = {lang: np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64)) for (lang, kind), top in found.items() if kind == 1}
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in chunks(batches):
+            words, langs = words_of(batch.column("text"), lower=True), np.array(batch.column("lang").to_pylist(), object)
+            row = words.row_of_word()
+            for lang in shared.value.keys() & set(langs):
+                keys, own = shared.value[lang], words.hashes[(langs == lang)[row]]
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                total = seen.setdefault(lang, np.zeros(len(keys), np.int64))
+                total += np.bincount(at[keys[at] == own], minlength=len(keys))
+        for lang, total in seen.items():
+            some = total > 0
+            yield record({
+                "lang": ([lang] * int(some.sum()), pa.string()), "kind": ([1] * int(some.sum()), pa.int32()),
+                "key": (shared.value[lang][some].view(np.int64), pa.int64()), "n": (total[some], pa.int64())})
+
+    exact = known.mapInArrow(again, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    common: dict[str, list] = {}
+    for r in _top(exact, rules.common_words).collect():
+        common.setdefault(r["lang"], []).append(r)
     langs = sorted({lang for lang, _ in found})
     classes = np.zeros((len(langs), CLASSES))
     words, counts = [], []
     for i, lang in enumerate(langs):
         for x in found[lang, 0]:
             classes[i, x["key"]] = x["n"]
-        best = sorted(found.get((lang, 1), [])[:rules.common_words], key=lambda x: x["key"] % 2**64)
+        best = sorted(common.get(lang, []), key=lambda x: x["key"] % 2**64)
         words.append(np.array([x["key"] for x in best], np.int64).view(np.uint64))
         n = np.array([x["n"] for x in best], float)
         counts.append(np.append(n, found[lang, 2][0]["n"] - n.sum()))
     return References(langs, classes, words, counts)
 
 
+def _top(sums: DataFrame, k: int) -> DataFrame:
+    """The ``k`` largest counts of each language and kind, first of each of ``TOP_PARTS`` parts, so that no task reads more than their tops."""
+    for keys in (["lang", "kind", F.pmod(F.xxhash64("key"), F.lit(TOP_PARTS))], ["lang", "kind"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("key")))
+        sums = sums.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    return sums
+
+
 def _added(held: list) -> tuple[np.ndarray, np.ndarray]:
     token, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
     return token, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)

@@ -68,6 +68,16 @@ def test_references_count_everything(spark):
         assert ref.counts[i].sum() == len(words)
 
 
+def test_common_words_count_where_they_are_rare(spark):
+    # "the" is common in one task and one word in 8,000 in the other
+    rows = [(i, "the cat " * 300, "en", "x") for i in range(10)] + [(99, "the " + "dog " * 7999, "en", "x")]
+    docs = spark.createDataFrame(rows[:10], SCHEMA).coalesce(1).union(spark.createDataFrame(rows[10:], SCHEMA).coalesce(1))
+    ref = q.learn_references(docs, q.Rules(common_words=3))
+    hashes = words_of(pa.array(["the", "cat", "dog"])).hashes
+    assert dict(zip(ref.words[0], ref.counts[0])) == dict(zip(hashes, [3001, 3000, 7999]))
+    assert ref.counts[0].sum() == 14000
+
+
 def test_verdicts_on_given_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -14,6 +14,7 @@ bitmap has a fixed size; when it fills up, less is skipped and nothing is lost.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,14 @@ INSIDE_PERCENT = 80
 SCALE = 2_000_000
 #: Bits of the filter between rounds: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
-TEXT_BYTES = 4 * 1024 * 1024
-_OUT_ROWS = 100_000
+TEXT_BYTES = 1024 * 1024
+_OUT_ROWS = 20_000
 
 _ENDS_PIECE = np.zeros(256, bool)
 _ENDS_PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BETWEEN = _ENDS_PIECE.copy()
 _BETWEEN[[9, 32]] = True
+_SEPARATOR = re.compile("[.,;:!?\n\x0b\x0c\r]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -97,6 +99,20 @@ class PieceWords:
         return self.data[self.starts[word]:self.ends[word + k - 1]].tobytes().decode() if k else ""
 
 
+def _sections(texts: pa.Array) -> Iterator[tuple[PieceWords, int]]:
+    """Words of a chunk, and how many came before; a long text is taken in sections that end at a separator."""
+    if len(texts) != 1 or len(texts[0].as_py()) <= TEXT_BYTES:
+        yield PieceWords(texts), 0
+        return
+    text, start, before = texts[0].as_py(), 0, 0
+    while start < len(text):
+        end = _SEPARATOR.search(text, start + TEXT_BYTES) if len(text) - start > TEXT_BYTES else None
+        stop = end.end() if end else len(text)
+        words = PieceWords(pa.array([text[start:stop]]))
+        yield words, before
+        start, before = stop, before + len(words.starts)
+
+
 def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
@@ -135,24 +151,27 @@ def _entries(docs: DataFrame, k: int, bits: np.ndarray | None, hash_bits: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strong, check = Fingerprints(1, hash_bits), Fingerprints(2)
         for batch in chunks(batches, limit=TEXT_BYTES):
-            words = PieceWords(batch.column("text"))
             salt = np.array([_salt(x) for x in batch.column("lang").to_pylist()], np.uint64)
             key = batch.column("key").to_numpy()
-            at, fp, chk = _ngrams(words, salt, k, shared.value, strong, check)
-            found = [(at, fp, chk, at - words.first[words.text[at]])]
-            if k == 1:
-                own, none = salt[words.text[at]], np.zeros_like(at)
-                found.append((at, *(f.between(np.zeros(1, np.uint64), none, none, own) for f in (strong, check)), none - 1))
-            for at, fp, chk, pos in found:
-                if not len(at):
-                    continue
-                order = np.argsort(fp)
-                at, fp, chk, pos = at[order], fp[order], chk[order], pos[order]
-                new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (chk[1:] != chk[:-1])]))
-                counts = np.diff(np.append(new, len(fp)))
-                columns = (_signed(fp[new]), _signed(chk[new]), counts, key[words.text[at[new]]], pos[new])
-                for i in range(0, len(new), _OUT_ROWS):
-                    yield record({name: (c[i:i + _OUT_ROWS], pa.int64()) for name, c in zip(("fp", "chk", "n", "key", "pos"), columns, strict=True)})
+            for words, before in _sections(batch.column("text")):
+                yield from count(words, before, salt, key, strong, check)
+
+    def count(words, before, salt, key, strong, check) -> Iterator[pa.RecordBatch]:
+        at, fp, chk = _ngrams(words, salt, k, shared.value, strong, check)
+        found = [(at, fp, chk, before + at - words.first[words.text[at]])]
+        if k == 1:
+            own, none = salt[words.text[at]], np.zeros_like(at)
+            found.append((at, *(f.between(np.zeros(1, np.uint64), none, none, own) for f in (strong, check)), none - 1))
+        for at, fp, chk, pos in found:
+            if not len(at):
+                continue
+            order = np.argsort(fp)
+            at, fp, chk, pos = at[order], fp[order], chk[order], pos[order]
+            new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (chk[1:] != chk[:-1])]))
+            counts = np.diff(np.append(new, len(fp)))
+            columns = (_signed(fp[new]), _signed(chk[new]), counts, key[words.text[at[new]]], pos[new])
+            for i in range(0, len(new), _OUT_ROWS):
+                yield record({name: (c[i:i + _OUT_ROWS], pa.int64()) for name, c in zip(("fp", "chk", "n", "key", "pos"), columns, strict=True)})
 
     return docs.mapInArrow(run, "fp long, chk long, n long, key long, pos long")
 
@@ -186,27 +205,31 @@ def _read_back(docs: DataFrame, wanted: DataFrame, hash_bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strong, check = Fingerprints(1, hash_bits), Fingerprints(2)
-        for batch in chunks(batches):
-            words = PieceWords(batch.column("text"))
+        for batch in chunks(batches, limit=TEXT_BYTES):
             langs = batch.column("lang").to_pylist()
             salt = np.array([_salt(x) for x in langs], np.uint64)
             lists = batch.column("wants")
             wants = lists.flatten()
             row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-            k, fp, low, a, pos = (wants.field(name).to_numpy() for name in ("k", "fp", "low", "a", "pos"))
-            size = np.diff(np.append(words.first, len(words.starts)))[row]
-            fits = (pos + np.maximum(k, 1) <= size) & (size > 0)
-            row, k, fp, low, a, pos = row[fits], k[fits], fp[fits], low[fits], a[fits], pos[fits]
-            at = words.first[row] + pos
-            start = words.starts[at] * (k > 0)
-            end = words.ends[at + np.maximum(k, 1) - 1] * (k > 0)
-            found = np.ones(len(at), bool)
-            for hashes, value in ((strong, fp), (check, low)):
-                found &= _signed(hashes.between(hashes.prefixes(words.data), start, end, salt[row])) == value
-            at, k, row, a = at[found], k[found], row[found], a[found]
-            yield record({
-                "lang": ([langs[i] for i in row], pa.string()), "k": (k, pa.int32()),
-                "phrase": ([words.phrase(i, n) for i, n in zip(at, k, strict=True)], pa.string()), "a": (a, pa.int64())})
+            columns = [row, *(wants.field(name).to_numpy() for name in ("k", "fp", "low", "a", "pos"))]
+            for words, before in _sections(batch.column("text")):
+                yield find(words, before, langs, salt, *columns, strong, check)
+
+    def find(words, before, langs, salt, row, k, fp, low, a, pos, strong, check) -> pa.RecordBatch:
+        pos = pos - before
+        size = np.diff(np.append(words.first, len(words.starts)))[row]
+        fits = (pos >= 0) & (pos + np.maximum(k, 1) <= size)
+        row, k, fp, low, a, pos = (x[fits] for x in (row, k, fp, low, a, pos))
+        at = words.first[row] + pos
+        start = words.starts[at] * (k > 0)
+        end = words.ends[at + np.maximum(k, 1) - 1] * (k > 0)
+        found = np.ones(len(at), bool)
+        for hashes, value in ((strong, fp), (check, low)):
+            found &= _signed(hashes.between(hashes.prefixes(words.data), start, end, salt[row])) == value
+        at, k, row, a = at[found], k[found], row[found], a[found]
+        return record({
+            "lang": ([langs[i] for i in row], pa.string()), "k": (k, pa.int32()),
+            "phrase": ([words.phrase(i, n) for i, n in zip(at, k, strict=True)], pa.string()), "a": (a, pa.int64())})
 
     joined = texts.join(per_text, "key").select("key", "lang", "text", F.col("wants").cast(f"array<{kind}>").alias("wants"))
     return joined.mapInArrow(run, "lang string, k int, phrase string, a long").distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -19,10 +20,8 @@ _SAFE_CUT = re.compile(r"(?<=[^\s']) (?=[^\s])")
 PIECE_CHARS = 1 << 18
 MEMO_UNITS = 400_000
 UNIT_CHARS = 64
-# The same for a vocabulary that drops white space, over a lower-cased text of Latin-1 letters.
-_LOWER_UNIT = re.compile(r"[a-zà-öø-ÿ]+(?=[ \n.,;:!?]|\Z)|\S+")
-# A unit of letters alone is one item for the merges.
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+# A unit of letters, with marks behind it or not.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -44,16 +43,39 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Memo:
+    """Ids of units met lately: of the last ``MEMO_UNITS`` new ones and as many before."""
+
+    def __init__(self, make: Callable[[set[str]], dict[str, bytes]]):
+        self.make = make
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def parts(self, units: list[str]) -> list[bytes]:
+        parts = list(map(self.young.get, units))
+        if None in parts:
+            missing = {u for u, p in zip(units, parts) if p is None}
+            own = {u: self.old[u] for u in missing if u in self.old}
+            own |= self.make(missing.difference(own))
+            if len(self.young) + len(own) > MEMO_UNITS:
+                self.old, self.young = self.young, {}
+            self.young.update((u, ids) for u, ids in own.items() if len(u) <= UNIT_CHARS)
+            parts = [own[u] if p is None else p for u, p in zip(units, parts)]
+        return parts
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()  # much faster than numpy for a few ids
+
+
 class _Encoder:
-    """A tokenizer file and the ids of words met lately: of the last ``MEMO_UNITS`` new ones and as many before."""
+    """A tokenizer file and a memo of units."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         layout = json.loads(self.tokenizer.to_str())
         steps = [n["type"] for n in (layout["normalizer"] or {}).get("normalizers", [])]
@@ -61,47 +83,56 @@ class _Encoder:
         # the two layouts whose treatment of plain letters is known
         self.lower = steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         self.plain = self.lower or (layout["normalizer"] is None and splits == ["ByteLevel"])
+        self.units = _Memo(self.new_ids)
 
     def new_ids(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units not met lately; words of letters go to the merges without further analysis."""
-        own, mixed, model = {}, [], self.tokenizer.model
+        """Ids of units; words of letters go to the merges without further analysis, marks after them apart."""
+        own, mixed, marked, model = {}, [], [], self.tokenizer.model
         for u in units:
-            if self.plain and _LETTERS.match(u):
-                word = u.lstrip(" ").lower() if self.lower else u
-                word = word.encode().decode("latin-1").translate(self.letters)
-                own[u] = np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
-            else:
+            word = _WORD.fullmatch(u) if self.plain else None
+            if word is None:
                 mixed.append(u)
+            elif word[2]:
+                marked.append((u, *word.groups()))
+            else:
+                letters = word[1].lstrip(" ").lower() if self.lower else word[1]
+                if not letters.isascii() or letters[0] == " ":
+                    letters = letters.encode().decode("latin-1").translate(self.letters)
+                own[u] = _bytes([t.id for t in model.tokenize(letters)])
+        if marked:
+            words, marks = (self.units.parts([x[i] for x in marked]) for i in (1, 2))
+            own |= {u: w + m for (u, *_), w, m in zip(marked, words, marks)}
         if mixed:
             encoded = self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)
-            own |= {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(mixed, encoded)}
+            own |= {u: _bytes(e.ids) for u, e in zip(mixed, encoded)}
         return own
 
+    def whole(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def piece(self, text: str) -> bytes:
         if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
         # lower case is letter by letter up to U+00FF, and such text has no other composed form
-        units = _LOWER_UNIT.findall(text.lower()) if self.lower and max(text) <= "ÿ" else _UNIT.findall(text)
-        parts = list(map(self.young.get, units))
-        if None in parts:
-            missing = {u for u, p in zip(units, parts) if p is None}
-            own = {u: self.old[u] for u in missing if u in self.old}
-            own |= self.new_ids(missing.difference(own))
-            if len(self.young) + len(own) > MEMO_UNITS:
-                self.old, self.young = self.young, {}
-            self.young.update((u, ids) for u, ids in own.items() if len(u) <= UNIT_CHARS)
-            parts = [own[u] if p is None else p for u, p in zip(units, parts)]
-        return b"".join(parts)
+        if self.lower and (text.isascii() or max(text) <= "ÿ"):
+            return b"".join(self.units.parts(text.lower().split()))
+        return b"".join(self.units.parts(_UNIT.findall(text)))
 
 
 _encoder = functools.lru_cache(maxsize=4)(_Encoder)
 
 
 def encode(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids (unsigned 32 bits) of each text, without special tokens.
+    """Ids (unsigned 32 bits) of each text; none are added, but a special token that a text holds keeps its id.
 
     Equal words get equal ids, so a worker encodes a word once while it keeps coming back.
-    The result is that of encoding the whole text.
+    The result is that of encoding the whole text by the library's defaults.
     """
     encoder = _encoder(path)
-    return [np.frombuffer(b"".join([encoder.piece(p) for p in pieces(t)]) if t else b"", "<u4") for t in texts]
+
+    def ids(text: str) -> bytes:
+        if any(x in text for x in encoder.special):
+            return encoder.whole(text)
+        return b"".join([encoder.piece(p) for p in pieces(text)])
+
+    return [np.frombuffer(ids(t) if t else b"", "<u4") for t in texts]

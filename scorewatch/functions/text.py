@@ -17,6 +17,11 @@ from scorewatch.values import (
 )
 
 
+def quoted(name: str) -> str:
+    """A column name as it must be written in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def resumable(status: Column) -> Column:
     return status.isin(RESUMABLE_JOB_STATUSES)
 

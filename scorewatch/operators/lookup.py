@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewatch.functions.text import quoted
 from scorewatch.session import table_bytes
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -51,7 +52,7 @@ def _spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> D
     )
     # the hash tells rows of a key apart, the partition id tells copies apart;
     # both stay the same when a lost task runs again
-    payload = [f"`{f.name}`" for f in big.schema.fields if not _has_map(f.dataType.simpleString())]
+    payload = [quoted(f.name) for f in big.schema.fields if not _has_map(f.dataType.simpleString())]
     salt = F.pmod(F.xxhash64(*payload, F.spark_partition_id()), F.lit(SALTS)).cast("int")
     left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0))
     right = small.join(F.broadcast(hot), on, "left").withColumn(

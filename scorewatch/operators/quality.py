@@ -23,7 +23,7 @@ from scorewatch.functions.drift import (
     proportions,
     psi,
 )
-from scorewatch.functions.text import stripped
+from scorewatch.functions.text import quoted, stripped
 from scorewatch.operators.lookup import BROADCAST_BYTES, lookup_join
 from scorewatch.operators.ordered import with_last
 from scorewatch.values import (
@@ -88,7 +88,7 @@ def inspected_columns(manifest: DataFrame, columns: list[str]) -> list[str]:
 
 def run_counts(scored: DataFrame, columns: list[str] = (), keys: list[str] = RUN_KEYS) -> DataFrame:
     """Rows per run, and NULLs per run of each named column, in one pass."""
-    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in columns]
+    nulls = [F.count_if(F.col(quoted(c)).isNull()).alias(f"nulls_{c}") for c in columns]
     return scored.groupBy(*keys).agg(F.count("*").alias("request_count"), *nulls)
 
 
@@ -129,7 +129,7 @@ def _cells(
     inner = max(facts.max_edges - 2, 0) if features else 0
 
     def value(item: Item) -> Column:
-        column = F.col(f"`{item.column}`")
+        column = F.col(quoted(item.column))
         return as_number(column, types[item.column]) if item.feature else F.when(column.isNotNull(), 0.0)
 
     def edges(item: Item) -> Column:
@@ -430,7 +430,7 @@ def fit_baseline(training: DataFrame, edges: dict[str, list[float]], keys: list[
     types = {f.name: f.dataType for f in training.schema.fields}
     values = F.array(*[
         F.struct(F.lit(f).alias("feature"), bucketize(
-            as_number(F.col(f"`{f}`"), types[f]), F.array(*[F.lit(float(e)) for e in cuts]), len(cuts)
+            as_number(F.col(quoted(f)), types[f]), F.array(*[F.lit(float(e)) for e in cuts]), len(cuts)
         ).alias("bucket"))
         for f, cuts in edges.items()
     ])

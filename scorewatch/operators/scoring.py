@@ -9,10 +9,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorewatch.functions.text import quoted
+
 _log = logging.getLogger(__name__)
 
 
@@ -87,9 +89,26 @@ def reconcile(source: DataFrame, written: DataFrame, prediction_col: str = "pred
     """
     out = written.agg(
         F.count("*").alias("rows_written"),
-        F.count_if(F.col(f"`{prediction_col}`").isNull()).alias("null_predictions"),
+        F.count_if(F.col(quoted(prediction_col)).isNull()).alias("null_predictions"),
     )
     rows_read = source.agg(F.count("*").alias("n")).scalar()
     return out.select(
         rows_read.alias("rows_read"), "rows_written", "null_predictions", (rows_read == F.col("rows_written")).alias("complete")
     )
+
+
+def write_scored(
+    df: DataFrame, path: str, model: bytes | Callable[[], Any], prediction_col: str = "prediction", **options: Any
+) -> DataFrame:
+    """Score a table to ``path``; returns the row of ``reconcile`` from what the writing job itself has seen.
+
+    ``options`` are those of ``score``. Neither side is read again. Shuffles above ``df`` do not disturb the counts.
+    """
+    read, written = Observation(), Observation()
+    scored = score(df.observe(read, F.count(F.lit(1)).alias("n")), model, prediction_col, **options)
+    assert_scored(df, scored, prediction_col)
+    empty = F.count_if(F.col(quoted(prediction_col)).isNull())
+    scored.observe(written, F.count(F.lit(1)).alias("n"), empty.alias("empty")).write.parquet(path)
+    counts = {"rows_read": read.get["n"], "rows_written": written.get["n"], "null_predictions": written.get["empty"]}
+    row = [F.lit(n).cast("long").alias(name) for name, n in counts.items()]
+    return df.sparkSession.range(1).select(*row, F.lit(counts["rows_read"] == counts["rows_written"]).alias("complete"))

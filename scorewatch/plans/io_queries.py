@@ -168,6 +168,19 @@ def _(t: Tables) -> DataFrame:
     return _loaded(t, f"{base}/table", [first, again])
 
 
+@query("a10_load_empty_run", sql="""
+    SELECT 'RUN-0002' AS _run_id, count(*) AS n, count(DISTINCT event_id) AS events, '0,' || count(*) AS added FROM events""")
+def _(t: Tables) -> DataFrame:
+    # the first run has no rows; its file is noted and the next run loads as usual
+    base = scratch_path(t.spark, "staged")
+    args = (f"{base}/table", f"{base}/ledger")
+    added = []
+    for run, rows in (("RUN-0001", t["events"].filter("event_id < 0")), ("RUN-0002", t["events"])):
+        uri, _ = sinks.unload_table(rows, base, DAY, run)
+        added.append(sinks.load_files(t.spark, uri, *args, run, "2024-03-01"))
+    return _loaded(t, args[0], added)
+
+
 @query("a11_load_row_total", views="audit", sql="""
     SELECT tenant_id, coalesce(sum(CASE WHEN action <> 'error' THEN entity_id::BIGINT END), 0)::BIGINT AS rows_loaded FROM audit GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:

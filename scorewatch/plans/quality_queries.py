@@ -355,10 +355,16 @@ def _lines(t: Tables) -> DataFrame:
     return t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_shipdate")
 
 
-def _scored_lines(t: Tables) -> DataFrame:
+FEATURES = ["l_partkey", "l_quantity", "l_discount"]
+
+
+def _dealt_lines(t: Tables) -> DataFrame:
     # the file has one row group; scoring is dearer than dealing its rows to all tasks
-    lines = _lines(t).repartition(t.spark.sparkContext.defaultParallelism)
-    return scoring.score(lines, _example_model(), features=["l_partkey", "l_quantity", "l_discount"], on_error="row")
+    return _lines(t).repartition(t.spark.sparkContext.defaultParallelism)
+
+
+def _scored_lines(t: Tables) -> DataFrame:
+    return scoring.score(_dealt_lines(t), _example_model(), features=FEATURES, on_error="row")
 
 
 @query("i1_score", sql=r"""
@@ -375,11 +381,7 @@ def _(t: Tables) -> DataFrame:
            count(*) FILTER (l_partkey % 19 = 0 OR l_partkey % 1009 = 0) AS null_predictions, true AS complete
     FROM lineitem""")
 def _(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "scored")
-    _scored_lines(t).write.parquet(path)
-    written = t.spark.read.parquet(path)
-    scoring.assert_scored(_lines(t), written)
-    return scoring.reconcile(t["lineitem"], written)
+    return scoring.write_scored(_dealt_lines(t), scratch_path(t.spark, "scored"), _example_model(), features=FEATURES, on_error="row")
 
 
 @query("i2_assert_scored", sql="""

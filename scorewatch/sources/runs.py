@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LISTING_CHUNK = 10_000
+_NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def read_run_output(spark: SparkSession, prefix: str, schema: T.StructType | None = None) -> DataFrame:
@@ -29,11 +30,21 @@ def read_run_output(spark: SparkSession, prefix: str, schema: T.StructType | Non
     try:
         return reader.parquet(prefix)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() in _NOTHING_THERE:
             raise ValueError(f"No parquet files found under {prefix}") from e
         raise
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A parquet table, or None where nothing has been written yet. One that is there but cannot be read is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in _NOTHING_THERE:
+            return None
+        raise
+
+
 def list_files(spark: SparkSession, prefix: str) -> DataFrame:
     """Path and size of every parquet file under a prefix; file contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")

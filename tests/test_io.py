@@ -131,6 +131,58 @@ def test_rows_of_another_folder_are_not_taken_for_a_load(spark, tmp_path):
     assert spark.read.parquet(args[0]).count() == 150
 
 
+def test_a_run_without_rows_may_come_first(spark, tmp_path):
+    target, ledger = str(tmp_path / "t"), str(tmp_path / "l")
+    assert sinks.load_append(spark.range(0), target, "RUN-0001", "2026-07-08") == 0
+    uri, rows = sinks.unload_table(spark.range(0), str(tmp_path / "out"), DAY, "RUN-0002")
+    assert rows == 0 and sinks.load_files(spark, uri, target, ledger, "RUN-0002", "2026-07-08") == 0
+    assert spark.read.parquet(ledger).agg(F.sum("rows_loaded")).first()[0] == 0
+    uri, _ = sinks.unload_table(spark.range(7), str(tmp_path / "out"), DAY, "RUN-0003")
+    assert sinks.load_files(spark, uri, target, ledger, "RUN-0003", "2026-07-08") == 7
+    assert sinks.load_files(spark, uri, target, ledger, "RUN-0003", "2026-07-09") == 0
+
+
+def test_a_ledger_that_cannot_be_read_is_an_error(spark, tmp_path):
+    uri, _ = sinks.unload_table(spark.range(3), str(tmp_path / "out"), DAY, "RUN-0001")
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)footer|parquet"):
+        sinks.load_files(spark, uri, str(tmp_path / "t"), str(tmp_path / "l"), "RUN-0001", "2026-07-08")
+    assert not (tmp_path / "t").exists()
+
+
+def test_a_load_looks_at_its_own_run_only(spark, tmp_path):
+    target = str(tmp_path / "t")
+    for run, n in (("0042", 5), ("42", 7), ("43", 1)):  # ids of digits stay text
+        uri, _ = sinks.unload_table(spark.range(n), str(tmp_path / "out"), DAY, run)
+        assert sinks.load_files(spark, uri, target, str(tmp_path / "l"), run, "2026-07-08") == n
+    loaded = sinks.read_loaded(spark, target)
+    assert {r["_run_id"]: r["count"] for r in loaded.groupBy("_run_id").count().collect()} == {"0042": 5, "42": 7, "43": 1}
+    rows = sinks._rows_per_file(loaded, "42")
+    assert sum(r["rows_loaded"] for r in rows.collect()) == 7
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_run_id" in plan and "= 42)" in plan
+
+
+def test_paths_stay_in_the_cluster(spark, tmp_path, monkeypatch):
+    uri, _ = sinks.unload_table(spark.range(100).repartition(5), str(tmp_path / "out"), DAY, "RUN-0001")
+    args = (str(tmp_path / "t"), str(tmp_path / "l"), "RUN-0001", "2026-07-08")
+    whole = type(spark.range(1)).collect
+    def few(df):
+        rows = whole(df)
+        assert len(rows) <= 1, "rows come to the driver"
+        return rows
+    monkeypatch.setattr(type(spark.range(1)), "collect", few)
+    assert sinks.load_files(spark, uri, *args) == 100
+    assert sinks.load_files(spark, uri, *args) == 0
+
+
+def test_names_with_back_ticks(spark, tmp_path):
+    df = spark.range(3).withColumnRenamed("id", "a`b")
+    assert sinks.load_append(df, str(tmp_path / "t"), "RUN-0001", "2026-07-08") == 3
+    assert sinks.load_append(df, str(tmp_path / "t"), "RUN-0002", "2026-07-08") == 3
+
+
 def test_the_ledger_never_forgets(spark):
     files = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "path string")
     ledger = spark.createDataFrame([("a", dt.datetime(1999, 1, 1)), ("c", dt.datetime(2024, 1, 1))], "path string, loaded_at timestamp")
@@ -183,6 +235,13 @@ def test_a_failing_batch_keeps_its_rows(spark):
     assert [r["x"] for r in by_row.filter("prediction IS NULL").collect()] == [13]
 
 
+def test_counts_come_from_the_job_that_writes(spark, tmp_path):
+    df = spark.range(100).withColumnRenamed("id", "x").repartition(4)
+    row = scoring.write_scored(df, str(tmp_path / "s"), model("fails"), on_error="row").first().asDict()
+    assert row == {"rows_read": 100, "rows_written": 100, "null_predictions": 1, "complete": True}
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+
+
 def test_nan_and_misshapen_predictions_are_null(spark):
     df = spark.range(10).withColumnRenamed("id", "x").coalesce(1)
     assert scoring.score(df, model("nans")).filter("prediction IS NULL").count() == 5

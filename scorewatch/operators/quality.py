@@ -61,12 +61,12 @@ def baseline_facts(baselines: DataFrame, columns: list[str]) -> BaselineFacts:
     return BaselineFacts(sorted(row["features"]), row["edges"], row["bytes"])
 
 
-def _baselines_of(manifest: DataFrame, baselines: DataFrame, columns: list[str]) -> tuple[DataFrame, BaselineFacts]:
+def _baselines_of(runs: DataFrame, baselines: DataFrame, columns: list[str]) -> tuple[DataFrame, BaselineFacts]:
     """The baselines and their facts; a table too large to broadcast is first cut to the models that have runs."""
     facts = baseline_facts(baselines, columns)
     if facts.wide_bytes <= BROADCAST_BYTES:
         return baselines, facts
-    cut = baselines.join(manifest.select(*MODEL_KEYS).distinct(), MODEL_KEYS, "left_semi")
+    cut = baselines.join(runs.select(*MODEL_KEYS).distinct(), MODEL_KEYS, "left_semi")
     return cut, baseline_facts(cut, columns)
 
 
@@ -202,25 +202,52 @@ def run_stats(
     ``stats`` maps each inspected column to its rows, NULLs, values that are not
     numbers, and counts per baseline bucket.
     """
-    facts = baseline_facts(baselines, scored.columns) if baselines is not None else None
+    facts = None
+    if baselines is not None:
+        baselines, facts = _baselines_of(scored, baselines, scored.columns)
     return _run_stats(scored, baselines, facts, list(others), keys)
 
 
 def _run_stats(
     scored: DataFrame, baselines: DataFrame | None, facts: BaselineFacts | None, others: list[str], keys: list[str]
+) -> DataFrame:
+    return stats_of_cells(_named_cells(scored, baselines, facts, others, keys), keys)
+
+
+def _named_cells(
+    scored: DataFrame, baselines: DataFrame | None, facts: BaselineFacts | None, others: list[str], keys: list[str]
 ) -> DataFrame:
     cells, items = _cells(scored, baselines, facts, others, keys)
     presence = F.get(F.array(*[F.lit(i.presence) for i in items] or [F.lit(False)]), F.col("item"))
     column = F.get(F.array(*[F.lit(i.column) for i in items] or [F.lit("")]), F.col("item"))
+    return cells.select(*keys, column.alias("column"), presence.alias("presence"), "bucket", "n")
+
+
+def run_cells(
+    scored: DataFrame, manifest: DataFrame, baselines: DataFrame, *, inspect: list[str] | None = None, keys: list[str] = RUN_KEYS
+) -> DataFrame:
+    """Counts per (run, column, bucket) from which every report on the runs of ``manifest`` can be made.
+
+    Columns: the run keys, ``column``, ``presence``, ``bucket`` (-1 counts values without a number) and ``n``. Cells of parts of
+    a run add up, so they may be kept and added to (``sources.cells``). They hold for the baseline they
+    were counted with; a model version's baseline does not change. ``inspect`` as in ``dq_report``.
+    """
+    baselines, facts = _baselines_of(manifest, baselines, scored.columns)
+    if inspect is None:
+        inspect = inspected_columns(manifest, scored.columns)
+    return _named_cells(scored, baselines, facts, [c for c in inspect if c in scored.columns], keys)
+
+
+def stats_of_cells(cells: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
+    """One row per run from its cells, see ``run_stats``."""
     main, empty = ~F.col("presence"), F.col("bucket") == _NULL
 
     def counted(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0))
 
     # from here on everything about a run stays in one partition: a run has few cells
-    per_column = cells.repartition(*keys).select(
-        *keys, "bucket", "n", column.alias("column"), presence.alias("presence")
-    ).groupBy(*keys, "column").agg(
+    summed = cells.repartition(*keys).groupBy(*keys, "column", "presence", "bucket").agg(F.sum("n").alias("n"))
+    per_column = summed.groupBy(*keys, "column").agg(
         counted(main).alias("rows"),
         counted(main & empty).alias("without_number"),
         F.max("presence").alias("text"),
@@ -329,6 +356,29 @@ def dq_report(
     if inspect is None:
         inspect = inspected_columns(manifest, scored.columns)
     stats = _run_stats(scored, baselines, facts, [c for c in inspect if c in scored.columns], keys)
+    return _report(stats, manifest, baselines, facts, stored, keys, width)
+
+
+def report_from_cells(
+    cells: DataFrame,
+    manifest: DataFrame,
+    baselines: DataFrame,
+    *,
+    stored: DataFrame | None = None,
+    keys: list[str] = RUN_KEYS,
+    width: str = "month",
+) -> DataFrame:
+    """The rows of ``dq_report`` from stored cells (``run_cells``) instead of the scored rows.
+
+    A run without cells has no rows. A check on a column that was not counted fails, as there.
+    """
+    baselines, facts = _baselines_of(manifest, baselines, [])
+    return _report(stats_of_cells(cells, keys), manifest, baselines, facts, stored, keys, width)
+
+
+def _report(
+    stats: DataFrame, manifest: DataFrame, baselines: DataFrame, facts: BaselineFacts, stored: DataFrame | None, keys: list[str], width: str
+) -> DataFrame:
     runs = manifest.select(
         *keys, "recorded_at", "columns", "prediction_col", F.coalesce("checks", F.array()).alias("checks")
     )
@@ -385,7 +435,7 @@ def with_previous_count(runs: DataFrame, *, stored: DataFrame | None = None, wid
 
 def drift_by_run(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
     """PSI of every run and baseline feature that can be scored, one row each."""
-    facts = baseline_facts(baselines, scored.columns)
+    baselines, facts = _baselines_of(scored, baselines, scored.columns)
     stats = _run_stats(scored, baselines, facts, [], keys)
     runs = lookup_join(stats, baseline_specs(baselines), MODEL_KEYS, "inner", small_bytes=facts.wide_bytes)
     here = F.array(*[F.lit(c) for c in scored.columns])
@@ -397,9 +447,22 @@ def drift_summary(scored: DataFrame, manifest: DataFrame, baselines: DataFrame,
     """Rows, scored features and largest PSI of every run in ``manifest``; 0 without rows or a usable baseline."""
     baselines, facts = _baselines_of(manifest, baselines, scored.columns)
     stats = _run_stats(scored, baselines, facts, [], keys)
+    return _drift_summary(stats, manifest, baselines, facts, F.array(*[F.lit(c) for c in scored.columns]), keys)
+
+
+def drift_summary_from_cells(
+    cells: DataFrame, manifest: DataFrame, baselines: DataFrame, columns: list[str], keys: list[str] = RUN_KEYS
+) -> DataFrame:
+    """The rows of ``drift_summary`` from stored cells; ``columns`` are those of the scored table."""
+    baselines, facts = _baselines_of(manifest, baselines, [])
+    return _drift_summary(stats_of_cells(cells, keys), manifest, baselines, facts, F.array(*[F.lit(c) for c in columns]), keys)
+
+
+def _drift_summary(
+    stats: DataFrame, manifest: DataFrame, baselines: DataFrame, facts: BaselineFacts, here: Column, keys: list[str]
+) -> DataFrame:
     runs = manifest.select(*keys).join(stats, keys, "left")
     runs = lookup_join(runs, baseline_specs(baselines), MODEL_KEYS, small_bytes=facts.wide_bytes)
-    here = F.array(*[F.lit(c) for c in scored.columns])
     drift = F.transform(F.coalesce("baseline", F.array()), lambda b: _feature_drift(b, F.col("stats"), here))
     scores = F.transform(F.filter(drift, lambda d: d["psi"].isNotNull()), lambda d: d["psi"])
     return runs.select(
@@ -409,7 +472,7 @@ def drift_summary(scored: DataFrame, manifest: DataFrame, baselines: DataFrame,
 
 def bucket_shares(scored: DataFrame, baselines: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:
     """Count and share of every bucket of a usable baseline per run and feature, empty ones included."""
-    facts = baseline_facts(baselines, scored.columns)
+    baselines, facts = _baselines_of(scored, baselines, scored.columns)
     stats = _run_stats(scored, baselines, facts, [], keys)
     runs = lookup_join(stats, baseline_specs(baselines), MODEL_KEYS, "inner", small_bytes=facts.wide_bytes)
 

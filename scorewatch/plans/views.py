@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewatch.operators.quality import run_cells
+from scorewatch.session import scratch_path
+from scorewatch.sources.cells import add_cells, read_cells
 from scorewatch.values import RUN_KEYS, STEP_ORDER
 
 
@@ -123,9 +126,9 @@ def run_manifest(t: Tables) -> DataFrame:
     """One row per run, and one run without rows per model; some runs lack columns."""
     base = scored(t)
     names = [c for c in base.columns if c not in RUN_KEYS]
-    runs = base.groupBy(*RUN_KEYS).agg(
-        (F.max(F.date_trunc("quarter", "l_shipdate")) + F.expr("INTERVAL 3 MONTHS")).alias("recorded_at")
-    )
+    # a run is a quarter and recorded at its end
+    start = F.make_date(F.substring("run_id", 1, 4).cast("int"), F.substring("run_id", 7, 1).cast("int") * 3 - 2, F.lit(1))
+    runs = base.select(*RUN_KEYS).distinct().withColumn("recorded_at", F.add_months(start, 3).cast("timestamp"))
     models = customers(t).select("r_name", "c_mktsegment").distinct()
     empty = models.select(
         F.col("r_name").alias("tenant_id"), F.col("c_mktsegment").alias("model_name"), F.lit("1").alias("version"),
@@ -147,6 +150,27 @@ def run_manifest(t: Tables) -> DataFrame:
     )
 
 
+_measured: dict[tuple[str, str], str] = {}
+
+
+def measured(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Cells and manifest of all runs, as a platform keeps them: counted once a session and folder, then read."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _measured:
+        _measured[key] = store_measured(t)
+    path = _measured[key]
+    return read_cells(t.spark, f"{path}/cells"), t.spark.read.parquet(f"{path}/manifest")
+
+
+def store_measured(t: Tables) -> str:
+    """Count the cells of all scored rows into a new store and write the manifest; returns the folder."""
+    path = scratch_path(t.spark, "measured")
+    manifest = run_manifest(t)
+    manifest.write.parquet(f"{path}/manifest")
+    add_cells(run_cells(scored(t), manifest, baselines(t), inspect=inspected()), f"{path}/cells", "all")
+    return path
+
+
 def models(t: Tables) -> DataFrame:
     """Three versions per region and segment."""
     keys = customers(t).select("r_regionkey", "r_name", "c_mktsegment").distinct()

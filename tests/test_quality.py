@@ -234,3 +234,27 @@ def test_baselines_too_large_to_broadcast_give_the_same_report(spark, monkeypatc
     monkeypatch.setitem(quality.lookup_join.__kwdefaults__, "limit", 0)
     assert report(spark, df, checks, "a", specs) == want
     assert want["drift_skipped"] == ["s"] and want["error_rate"] == round(1 / 301, 4)
+
+
+def test_cells_of_parts_add_up_to_the_report_of_the_rows(spark, tmp_path):
+    from scorewatch.sources.cells import add_cells, read_cells
+
+    rows = [("t", "m", "1", "j", f"r{i % 2}", float(i), None if i % 5 == 0 else 1.0, "x" if i == 7 else str(i)) for i in range(60)]
+    scored = spark.createDataFrame(rows, "tenant_id string, model_name string, version string, job_id string, run_id string, a double, p double, s string")
+    manifest = spark.createDataFrame(
+        [("t", "m", "1", "j", r, dt.datetime(2024, 1, 1 + i), ["a", "p", "s"], "p", [("p", "null_rate", 0.5)]) for i, r in enumerate(("r0", "r1", "none"))],
+        "tenant_id string, model_name string, version string, job_id string, run_id string, recorded_at timestamp, columns array<string>, "
+        "prediction_col string, checks array<struct<name:string,type:string,threshold:double>>")
+    baselines = spark.createDataFrame(
+        [("t", "m", "1", f, [0.0, 20.0, 40.0, 60.0], [0.3, 0.3, 0.4]) for f in ("a", "s")],
+        "tenant_id string, model_name string, version string, feature string, bins array<double>, proportions array<double>")
+    path = str(tmp_path / "cells")
+    assert read_cells(spark, path) is None
+    early = F.col("a") < 25
+    for part, some in (("one", early), ("two", ~early), ("two", ~early)):  # the last is a repeated job
+        add_cells(quality.run_cells(scored.filter(some), manifest, baselines), path, part)
+    got = quality.report_from_cells(read_cells(spark, path), manifest, baselines)
+    want = quality.dq_report(scored, manifest, baselines)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 3
+    with pytest.raises(ValueError, match="name a part"):
+        add_cells(read_cells(spark, path), path, "a/b")

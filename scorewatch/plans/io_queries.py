@@ -18,7 +18,7 @@ from scorewatch.plans.registry import iso, query
 from scorewatch.plans.views import Tables
 from scorewatch.session import scratch_path
 from scorewatch.sources import runs, sinks, store
-from scorewatch.streaming.snapshots import stream_snapshots
+from scorewatch.streaming.snapshots import read_stream_snapshots, stream_snapshots
 from scorewatch.values import LOAD_DATE_COLUMN, RUN_ID_COLUMN, RUN_KEYS
 
 DAY = dt.date(2024, 3, 1)
@@ -247,13 +247,12 @@ def _(t: Tables) -> DataFrame:
             t.spark, manifest_path, lambda batch: _scored_of(t.spark, scored_path, batch), v.baselines(t), v.models(t),
             f"{base}/snapshots", f"{base}/checkpoint",
         ).awaitTermination()
-    return store.read_snapshots(t.spark, f"{base}/snapshots").select(
+    return read_stream_snapshots(t.spark, f"{base}/snapshots").select(
         "tenant_id", "model_name", "run_id", "request_count", "previous_row_count", "error_rate", "max_psi", "derived_status"
     )
 
 
 def _scored_of(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
-    """The scored rows of a batch's runs: only the folders of their run ids are read."""
-    names = [r["run_id"] for r in batch.select("run_id").distinct().collect()]
-    rows = spark.read.option("basePath", path).parquet(path).filter(F.col("run_id").isin(names))
+    """The scored rows of a batch's runs: the join on the folder columns leaves only their folders to read."""
+    rows = spark.read.option("basePath", path).parquet(path)
     return lookup_join(rows, batch.select(*RUN_KEYS), RUN_KEYS, "left_semi")

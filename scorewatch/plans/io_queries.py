@@ -38,15 +38,16 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a2_sample_files_by_budget", sql="""
-    SELECT n_regionkey, count(*) AS n, 1 AS files_skipped FROM nation GROUP BY ALL""")
+    SELECT l_returnflag, count(*) AS n, true AS sampled FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    # the budget is the caller's; this one holds the first file and skips the larger second
-    prefix = scratch_path(t.spark, "output")
-    t["nation"].select("n_regionkey").coalesce(1).write.parquet(f"{prefix}/a")
+    # the budget is the caller's; this one holds a third of the orders and skips the files of the others
+    prefix, rows = scratch_path(t.spark, "output"), t["lineitem"].select("l_orderkey", "l_returnflag")
+    some = F.col("l_orderkey") % 3 == 0
+    rows.filter(some).write.parquet(f"{prefix}/a")
     budget = runs.list_files(t.spark, prefix).agg(F.sum("bytes")).first()[0]
-    t["customer"].select(F.col("c_custkey").alias("n_regionkey")).coalesce(1).write.parquet(f"{prefix}/b")
+    rows.filter(~some).write.parquet(f"{prefix}/b")
     df, stats = runs.sample_run_output(t.spark, prefix, budget)
-    return df.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.lit(stats["files_skipped"]).alias("files_skipped"))
+    return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.lit(stats["sampled"]).alias("sampled"))
 
 
 @query("a3_unload_table", sql="""
@@ -195,6 +196,24 @@ def _(t: Tables) -> DataFrame:
     return sinks.retain(jobs, F.lit("2001-08-01").cast("date")).select("tenant_id", "job_id", "o_orderkey")
 
 
+@query("a12_retain_stored", views="customer_runs", sql="""
+    SELECT tenant_id, job_id, o_orderkey FROM customer_runs
+    WHERE date_trunc('month', started_at)::DATE >= (SELECT max(started_at)::DATE FROM customer_runs) - 90""")
+def _(t: Tables) -> DataFrame:
+    # a stored layout of one folder per month; the day to count back from is known only when the query runs
+    path, jobs = scratch_path(t.spark, "runs"), v.customer_runs(t)
+    jobs.withColumn("run_date", F.trunc("started_at", "MM")).repartition("run_date").write.partitionBy("run_date").parquet(path)
+    newest = jobs.agg(F.max(F.to_date("started_at"))).scalar()
+    return sinks.retain(t.spark.read.parquet(path), newest).select("tenant_id", "job_id", "o_orderkey")
+
+
+@query("j3_stored_audit_by_date", views="audit", sql="SELECT tenant_id, event_id FROM audit WHERE ts::DATE = DATE '2024-01-09'")
+def _(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "audit")
+    audit_log.append_audit(v.audit(t), path)
+    return audit_log.audit_by_date(t.spark.read.parquet(path), "2024-01-09").select("tenant_id", "event_id")
+
+
 @query("g1_union_outputs", sql="""
     SELECT key, price, balance FROM (
       SELECT o_orderkey AS key, o_totalprice AS price, NULL AS balance FROM orders UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer)""")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import base64
+import io
+import tarfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from scorewatch.operators import quality, scoring, snapshots
 from scorewatch.plans import views as v
 from scorewatch.plans.registry import iso, joined, query
 from scorewatch.plans.views import Tables
-from scorewatch.session import scratch_path
+from scorewatch.session import scratch_path, write_bytes
 from scorewatch.sources import cells, runs
 from scorewatch.values import MODEL_KEYS, RUN_KEYS
 
@@ -419,10 +420,13 @@ def _(t: Tables) -> DataFrame:
     SELECT l_linenumber, round(sum(CASE WHEN l_partkey % 19 <> 0 AND l_partkey % 1009 <> 0 THEN l_quantity * l_discount END), 2) AS total
     FROM lineitem GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    # a model kept as a file, in the one form Spark itself can write: a text of one line in base64
-    path = scratch_path(t.spark, "model")
-    body = base64.b64encode(_example_model()).decode()
-    t.spark.range(1).select(F.lit(body).alias("value")).coalesce(1).write.text(path)
-    model = base64.b64decode(runs.read_model(t.spark, f"{path}/*.txt"))
-    out = scoring.score(_lines(t), model, features=["l_partkey", "l_quantity", "l_discount"], on_error="row")
+    # an archive in the shared folder, fetched once by every executor
+    body, packed = _example_model(), io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as archive:
+        member = tarfile.TarInfo("deep/model.pkl")
+        member.size = len(body)
+        archive.addfile(member, io.BytesIO(body))
+    path = scratch_path(t.spark, "model") + ".tar.gz"
+    write_bytes(t.spark, path, packed.getvalue())
+    out = scoring.score(_dealt_lines(t), runs.model_at(t.spark, path), features=FEATURES, on_error="row")
     return out.groupBy("l_linenumber").agg(F.round(F.sum("prediction"), 2).alias("total"))

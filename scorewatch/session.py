@@ -41,6 +41,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one small file to any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a table's rows, taken from their JSON text, by one distributed aggregation."""
     fixed = 16 + 8 * len(df.columns)

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import io
+import pickle
 import posixpath
 import tarfile
+from collections.abc import Callable
 from functools import reduce
+from typing import Any, BinaryIO
 
+from pyspark import SparkFiles
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LISTING_CHUNK = 10_000
 _NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -55,29 +58,27 @@ def sample_run_output(spark: SparkSession, prefix: str, max_bytes: int) -> tuple
     """The files of a run that fit a byte budget, and what was read and skipped.
 
     Files are taken in path order; one that does not fit is skipped and later ones
-    are still tried. A first file over the budget is an error. The listing is gone
-    through in bounded chunks of files that could still fit.
+    are still tried. A first file over the budget is an error. The cluster goes through the listing in one
+    ordered fold; the paths taken come back once, as the reader needs them to leave the other files alone.
     """
-    files = list_files(spark, prefix)
-    first = files.orderBy("path").first()
-    if first is None:
+    fits = F.when(F.col("bytes") <= max_bytes, F.struct("path", "bytes"))
+    nothing = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("taken"))
+
+    def take(state: Column, file: Column) -> Column:
+        used = state["used"] + file["bytes"]
+        more = F.struct(used.alias("used"), F.array_append(state["taken"], file["path"]).alias("taken"))
+        return F.when(used <= max_bytes, more).otherwise(state)
+
+    listed = list_files(spark, prefix).agg(
+        F.count("*").alias("n"), F.min(F.struct("path", "bytes")).alias("first"), F.array_sort(F.collect_list(fits)).alias("files"))
+    found = listed.select("n", "first", F.aggregate("files", nothing, take).alias("s")).first()
+    if not found["n"]:
         raise ValueError(f"No parquet files found under {prefix}")
-    if first["bytes"] > max_bytes:
-        raise ValueError(f"file {first['path']} ({first['bytes']} bytes) exceeds the budget of {max_bytes}")
-
-    taken, used, after = [], 0, ""
-    while True:
-        fits = files.filter((F.col("path") > after) & (F.col("bytes") <= max_bytes - used))
-        chunk = fits.orderBy("path").limit(_LISTING_CHUNK).collect()
-        for f in chunk:
-            if used + f["bytes"] <= max_bytes:
-                taken.append(f["path"])
-                used += f["bytes"]
-        if len(chunk) < _LISTING_CHUNK:
-            break
-        after = chunk[-1]["path"]
-    skipped = files.count() - len(taken)
-    stats = {"files_read": len(taken), "files_skipped": skipped, "bytes_read": used, "sampled": skipped > 0}
+    if found["first"]["bytes"] > max_bytes:
+        raise ValueError(f"file {found['first']['path']} ({found['first']['bytes']} bytes) exceeds the budget of {max_bytes}")
+    taken = found["s"]["taken"]
+    skipped = found["n"] - len(taken)
+    stats = {"files_read": len(taken), "files_skipped": skipped, "bytes_read": found["s"]["used"], "sampled": skipped > 0}
     return spark.read.option("mergeSchema", True).parquet(*taken), stats
 
 
@@ -95,16 +96,36 @@ def union_outputs(outputs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs)
 
 
-def read_model(spark: SparkSession, path: str) -> bytes:
-    """The pickle at ``path``, or the one member named ``model.pkl`` of a ``.tar.gz`` or ``.tgz``."""
-    files = spark.read.format("binaryFile").load(path).select("content").head(2)
-    if len(files) != 1:
-        raise FileNotFoundError(f"{path}: {len(files)} files instead of one")
-    content = bytes(files[0]["content"])
+def _pickle_in(file: BinaryIO, path: str) -> bytes:
+    """The pickle in a file, or in the one member named ``model.pkl`` of a ``.tar.gz`` or ``.tgz``."""
     if not path.lower().endswith((".tar.gz", ".tgz")):
-        return content
-    with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+        return file.read()
+    with tarfile.open(fileobj=file) as archive:
         models = [m for m in archive if m.isfile() and posixpath.basename(m.name) == "model.pkl"]
         if len(models) != 1:
             raise FileNotFoundError(f"{path}: {len(models)} members named model.pkl instead of one")
         return archive.extractfile(models[0]).read()
+
+
+def read_model(spark: SparkSession, path: str) -> bytes:
+    """The pickle at ``path``, see ``model_at``; for models that are small enough to be sent around."""
+    files = spark.read.format("binaryFile").load(path).select("content").head(2)
+    if len(files) != 1:
+        raise FileNotFoundError(f"{path}: {len(files)} files instead of one")
+    return _pickle_in(io.BytesIO(bytes(files[0]["content"])), path)
+
+
+def model_at(spark: SparkSession, path: str) -> Callable[[], Any]:
+    """A loader for ``scoring.score`` of the model at ``path``: a pickle, or an archive with one ``model.pkl``.
+
+    Every executor fetches the file once from its place and each task opens it there, so its content never
+    passes through the driver's memory or a table. File names must differ between models of a session. Pickles run code.
+    """
+    spark.sparkContext.addFile(path)
+    name = posixpath.basename(path)
+
+    def load() -> Any:
+        with open(SparkFiles.get(name), "rb") as file:
+            return pickle.loads(_pickle_in(file, path))
+
+    return load

@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorewatch.operators import audit as audit_log
 from scorewatch.operators import scoring
 from scorewatch.sources import runs, sinks
 
@@ -54,9 +55,8 @@ def test_budget_skips_but_keeps_trying(spark, tmp_path):
         runs.sample_run_output(spark, str(tmp_path), 10)
 
 
-def test_budget_listing_in_chunks(spark, tmp_path, monkeypatch):
+def test_budget_goes_on_after_files_that_do_not_fit(spark, tmp_path):
     sizes = sized_files(spark, tmp_path, [10, 3000, 10, 10, 3000, 10])
-    monkeypatch.setattr(runs, "_LISTING_CHUNK", 2)
     want = 3 * max(sizes[0], sizes[2], sizes[3]) + 5
     assert runs.sample_run_output(spark, str(tmp_path), want)[1]["files_read"] == 3
 
@@ -194,6 +194,32 @@ def test_retention(spark):
     assert sinks.retain(df, F.lit("2024-04-01").cast("date")).count() == 1
 
 
+def partitions_read(df):
+    """Folders that the scan of a collected frame has read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.executedPlan().collectLeaves() if plan.nodeName() == "AdaptiveSparkPlan" else plan.collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    scans = [x.plan().collectLeaves().apply(0) if "QueryStage" in x.nodeName() else x for x in leaves]
+    return [s.metrics().apply("numPartitions").value() for s in scans if s.metrics().contains("numPartitions")]
+
+
+def test_stored_dates_are_pruned(spark, tmp_path):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    spark.createDataFrame([(d, i) for i, d in enumerate(days)], "run_date date, x long").write.partitionBy("run_date").parquet(str(tmp_path / "runs"))
+    stored = spark.read.parquet(str(tmp_path / "runs"))
+    fixed = sinks.retain(stored, F.lit("2024-02-09").cast("date"), 4)
+    assert len(fixed.collect()) == 5 and partitions_read(fixed) == [5]
+    newest = spark.createDataFrame([(days[-1],)], "d date").agg(F.max("d")).scalar()
+    asof = sinks.retain(stored, newest, 2)  # known only when the query runs
+    assert len(asof.collect()) == 3 and 3 in partitions_read(asof)
+    events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1 + i % 5), "a", "b") for i in range(20)], "event_id long, ts timestamp, entity_type string, entity_id string")
+    audit_log.append_audit(events, str(tmp_path / "audit"))
+    day = audit_log.audit_by_date(spark.read.parquet(str(tmp_path / "audit")), "2024-01-03")
+    assert len(day.collect()) == 4
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "= 2024-01-03)]" in plan
+
+
 def model(kind):
     class Doubles:
         def predict(self, rows):
@@ -261,6 +287,10 @@ def test_models_from_files_and_loaders(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         runs.read_model(spark, str(tmp_path / "empty.tgz"))
     df = spark.range(3).withColumnRenamed("id", "x")
+    for name in ("m.pkl", "m.tar.gz"):
+        assert scoring.score(df, runs.model_at(spark, str(tmp_path / name))).agg(F.sum("prediction")).first()[0] == 6.0
+    with pytest.raises(Exception, match="0 members named model.pkl"):
+        scoring.score(df, runs.model_at(spark, str(tmp_path / "empty.tgz"))).count()
 
     def load():
         import pickle

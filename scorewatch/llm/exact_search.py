@@ -342,7 +342,7 @@ def top_products(
     on ``vec_id``. Ties go to the smaller id; a query with fewer partners gets all of them. Rows without id, null vectors and
     vectors with null or non-finite components take no part, empty and zero vectors do. Only vectors of equal length
     have a product. Rows that repeat id and vector count once; an id with several vectors is as many queries and
-    candidates, never its own candidate. A product beyond a long is shown as the nearest long. An empty table gives no rows.
+    candidates, never its own candidate. A product beyond a long counts as the nearest long. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = stored(quantise(vectors, scale), "quantised")

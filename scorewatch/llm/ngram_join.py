@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import chunks, partitions, record, rows_of, stored
@@ -29,7 +29,10 @@ DENSE = 32
 TIED = 4096
 BITS = 1024
 FLUSH = 1 << 20
-BLOCK = 96
+# Of a cluster so many shingles, or documents, are verified at a time.
+BLOCK_SHINGLES = 1 << 18
+BLOCK = 512
+PIVOTS = 4
 COLUMNS = 4096
 
 
@@ -313,7 +316,10 @@ def _tie_similar(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(members: DataFrame, percent: int) -> DataFrame:
-    """Links of each group of ``members`` (``cluster``, ``left``, ``right``; a document is in block ``mine``), as a spanning forest."""
+    """Links of each group of ``members`` (``cluster``, ``left``, ``right``), as a spanning forest.
+
+    Where ``left`` and ``right`` differ, only documents with a negative ``mine`` are compared with the others.
+    """
     def links(rows):
         docs = [r["doc_id"] for r in rows]
         sets = [np.frombuffer(r["tokens"], "<u8") for r in rows]
@@ -341,7 +347,7 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
                 both += has @ has.T
         linked = 100 * both >= percent * (size[:, None] + size - both)
         if not within:
-            linked &= side[:, None] != side
+            linked &= (side[:, None] < 0) != (side < 0)
         np.fill_diagonal(linked, False)
         # breadth first from each document not reached yet
         seen = np.zeros(len(docs), bool)
@@ -417,30 +423,76 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = O
     for c in ("a", "b"):
         edges = edges.join(to.withColumnRenamed("__node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
     clusters = components(edges)
-    counts = stored(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
-    members = clusters.join(counts, "component").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
-    rows = _with_sets(texts.join(members, "doc_id"), k)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = rows.withColumn("__other", other).select(
-        "cluster", F.least("mine", "__other").alias("left"), F.greatest("mine", "__other").alias("right"), "mine", "doc_id", "tokens")
-    group = ["cluster", "left", "right"]
-    met = spread.repartition(partitions(spark), *group).sortWithinPartitions(*group, "doc_id")
-    links = stored(_verify(met, percent), "links")
+    links = _links(texts, clusters, sizes, k, percent)
     final = components(links.unionByName(copies))
     return sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _with_sets(texts: DataFrame, k: int) -> DataFrame:
+def _links(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that connect what is connected in each cluster (``node``, ``component``), in two rounds.
+
+    First every block of a cluster is verified with a few pivots of the cluster, so a document's set travels once
+    and a family of near copies becomes one component. Then the documents outside the cluster's largest
+    component meet all its members in blocks; within that component nothing is left to find. Sets travel again only for these.
+    """
+    spark = texts.sparkSession
+    known = sizes.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
+    members = clusters.withColumnRenamed("component", "cluster").join(known, "node")
+    summed = [F.sum("n").alias("n"), F.count("*").alias("docs")]
+    counts = stored(members.groupBy("cluster").agg(*summed).select("cluster", _blocks().alias("blocks")), "cluster-sizes")
+    placed = stored(members.join(counts, "cluster").select(
+        F.col("node").alias("doc_id"), "cluster", "blocks", "n",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
+
+    def met(rows: DataFrame) -> DataFrame:
+        group = ["cluster", "left", "right"]
+        return rows.repartition(partitions(spark), *group).sortWithinPartitions(*group, "doc_id")
+
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    pivots = placed.filter("blocks > 1").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= PIVOTS)
+    elsewhere = pivots.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("__at <> mine")
+    first = placed.select("doc_id", "cluster", F.col("mine").alias("left"), F.col("mine").alias("right"), "mine")
+    first = first.unionByName(elsewhere.select("doc_id", "cluster", F.col("__at").alias("left"), F.col("__at").alias("right"), "mine"))
+    one = stored(_verify(met(_with_sets(texts, first, k)), percent), "links")
+
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        return one
+    part = large.join(components(one).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    part = stored(part.drop("component"), "parts")
+    whole = part.groupBy("cluster", "part").agg(F.count("*").alias("__n")).groupBy("cluster").agg(
+        F.max_by("part", F.struct("__n", "part")).alias("largest"))
+    outside = part.join(whole, "cluster").filter("part <> largest").drop("largest")
+    outer = outside.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).select("cluster", _blocks().alias("outer"))
+    outer = stored(outer, "outside")
+    if outer.isEmpty():
+        return one
+    left = outside.join(outer, "cluster").withColumn("left", -1 - F.pmod(F.xxhash64("doc_id"), F.col("outer")).cast("int")).select(
+        "doc_id", "cluster", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), F.lit(-1).alias("mine"))
+    right = part.join(outer, "cluster").select(
+        "doc_id", "cluster", F.explode(F.sequence(-F.col("outer"), F.lit(-1))).alias("left"), F.col("mine").alias("right"), "mine")
+    two = _verify(met(_with_sets(texts, left.unionByName(right), k)), percent)
+    return one.unionByName(stored(two, "links"))
+
+
+def _blocks() -> Column:
+    """Blocks for documents with ``n`` shingles together."""
+    return F.greatest(F.ceil(F.col("n") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK)).cast("int")
+
+
+def _with_sets(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """``places`` (a document may have several) with ``tokens``; sets are made once a document."""
+    kind = "array<struct<cluster:long,left:int,right:int,mine:int>>"
+    per_document = places.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "left", "right", "mine")).alias("places"))
+
     def run(batches):
         for batch, sets in _sets(batches, k):
             yield pa.record_batch(
-                [batch.column(c) for c in ("doc_id", "cluster", "blocks", "mine")] + [pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "cluster", "blocks", "mine", "tokens"])
-    return texts.select("doc_id", "cluster", "blocks", "mine", "text").mapInArrow(
-        run, "doc_id long, cluster long, blocks int, mine int, tokens binary")
+                [batch.column("doc_id"), batch.column("places"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "places", "tokens"])
+
+    made = texts.join(per_document, "doc_id").select("doc_id", "places", "text").mapInArrow(run, f"doc_id long, places {kind}, tokens binary")
+    return made.select("doc_id", "tokens", F.inline("places"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -448,5 +500,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     Of rows with equal ``doc_id`` all stay if it is the smallest; a null ``doc_id`` stays.
     """
-    late = jaccard_join(docs, k, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("__late")).distinct()
-    return docs.join(late, F.col("doc_id").cast("long") == F.col("__late"), "left_anti")
+    late = "late"
+    while late in map(str.lower, docs.columns):
+        late += "_"
+    gone = jaccard_join(docs, k, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(late)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(late), "left_anti")
+
+

@@ -66,7 +66,7 @@ def corpus(seed):
     return out + [out[7], (None, rows[5], None, None), (None, None, None, None)]
 
 
-@pytest.mark.parametrize("seed,changes", [(1, {}), (2, {"FLUSH": 300, "DENSE": 3, "BLOCK": 16, "COLUMNS": 64, "LOCAL_COMMON": 2}), (3, {"FLUSH": 2000, "DENSE": 8, "LOCAL_COMMON": 10**9}), (4, {"DENSE": 4, "TIED": 12, "LOCAL_COMMON": 10**9})])
+@pytest.mark.parametrize("seed,changes", [(1, {}), (2, {"FLUSH": 300, "DENSE": 3, "BLOCK": 16, "COLUMNS": 64, "LOCAL_COMMON": 2}), (3, {"FLUSH": 2000, "DENSE": 8, "LOCAL_COMMON": 10**9}), (4, {"DENSE": 4, "TIED": 12, "LOCAL_COMMON": 10**9}), (5, {"TIED": 4, "DENSE": 2, "BLOCK": 5, "PIVOTS": 1, "LOCAL_COMMON": 10**9}), (6, {"TIED": 4, "DENSE": 2, "BLOCK_SHINGLES": 300, "LOCAL_COMMON": 10**9})])
 def test_join_against_brute_force(spark, monkeypatch, seed, changes):
     for name, value in changes.items():
         monkeypatch.setattr(j, name, value)
@@ -83,6 +83,30 @@ def test_join_against_brute_force(spark, monkeypatch, seed, changes):
         assert j.keep_one(df).columns == df.columns
 
 
+def test_a_cluster_of_several_groups_in_blocks(spark, monkeypatch):
+    """Three families tied by one passage, and chains between documents of different blocks."""
+    monkeypatch.setattr(j, "BLOCK", 4)
+    monkeypatch.setattr(j, "TIED", 3)
+    monkeypatch.setattr(j, "DENSE", 2)
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for family in range(3):
+        w = passage + [f"f{family}w{i}" for i in range(60)]
+        for step in range(12):  # each differs a little from the one before: only neighbours link
+            w = list(w)
+            for p in range(40 + 5 * step, 44 + 5 * step):
+                w[p] = f"f{family}s{step}x{p}"
+            rows.append((int(rng.integers(10 ** 6)), " ".join(w), "c", 1))
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(set(map(str, got))) == sorted(set(brute(rows, 5, 75)))
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6)], "doc_id long, text string, late long")
+    assert [tuple(r) for r in j.keep_one(df).collect()] == [(1, "a b c d e f", 5)]
+
+
 def test_join_of_no_documents(spark):
     assert j.jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -66,6 +66,14 @@ def test_recall_at_the_threshold(spark):
     assert sum(r["n_links"] for r in got.collect()) >= 0.97 * 6000
 
 
+def test_vectors_of_any_length_link(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 3.0, 0.1]), (6, [0.1])]
+    for sample in (100, 1):  # with one vector sampled, most lengths have no centroids
+        monkeypatch.setattr(e, "SAMPLE", sample)
+        got = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_cell=2).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert e.near_duplicates(spark.createDataFrame([], schema)).collect() == []

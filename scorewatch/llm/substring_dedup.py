@@ -184,10 +184,10 @@ def _mark() -> Column:
     return F.shiftright(F.crc32("text"), 1).alias("mark")
 
 
-def _spans(batch: pa.RecordBatch, words: Words, window: int) -> np.ndarray:
+def _spans(batch: pa.RecordBatch, words: Words, window: int, factors_column: str) -> np.ndarray:
     """Which words of a chunk its factors cover."""
     change = np.zeros(len(words.hashes) + 1, np.int64)
-    for i, factors in enumerate(batch.column("__factors").to_pylist()):
+    for i, factors in enumerate(batch.column(factors_column).to_pylist()):
         for f in factors or ():
             at = words.first[i] + f["start"]
             change[at] += 1
@@ -195,11 +195,16 @@ def _spans(batch: pa.RecordBatch, words: Words, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _with_factors(docs: DataFrame, window: int) -> DataFrame:
-    found = duplicate_factors(docs, window).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
-        F.collect_list(F.struct("start", "windows")).alias("__factors"))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": _mark()})
-    return rows.join(found, ["__id", "__mark"], "left").drop("__id", "__mark")
+def _with_factors(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """``docs`` with the factors of each row, and the name of their column, which ``docs`` lacks."""
+    tag = ""
+    while {f"{n}{tag}" for n in ("__id", "__mark", "__factors")} & {c.lower() for c in docs.columns}:
+        tag += "_"
+    own, mark, factors = f"__id{tag}", f"__mark{tag}", f"__factors{tag}"
+    found = duplicate_factors(docs, window).groupBy(F.col("doc_id").alias(own), F.col("mark").alias(mark)).agg(
+        F.collect_list(F.struct("start", "windows")).alias(factors))
+    rows = docs.withColumns({own: F.col("doc_id").cast("long"), mark: _mark()})
+    return rows.join(found, [own, mark], "left").drop(own, mark), factors
 
 
 def removal_digests(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -209,7 +214,7 @@ def removal_digests(docs: DataFrame, window: int = 50) -> DataFrame:
     def run(batches):
         for batch in chunks(batches):
             words = words_of(batch.column("text"))
-            gone = _spans(batch, words, window)
+            gone = _spans(batch, words, window, factors)
             out, ends = joined_words(words, ~gone)
             before = np.concatenate([[0], np.cumsum(gone)])[words.first]
             yield record({
@@ -218,8 +223,8 @@ def removal_digests(docs: DataFrame, window: int = 50) -> DataFrame:
                 "kept_sha256": ([hashlib.sha256(out[a:b]).hexdigest() for a, b in ends.T], pa.string()),
             })
 
-    rows = _with_factors(docs.select(F.col("doc_id").cast("long"), "text"), window)
-    return rows.select("doc_id", "text", "__factors").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, factors = _with_factors(docs.select(F.col("doc_id").cast("long"), "text"), window)
+    return rows.select("doc_id", "text", factors).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_duplicates(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -230,7 +235,7 @@ def remove_duplicates(docs: DataFrame, window: int = 50) -> DataFrame:
     def run(batches):
         for batch in chunks(batches):
             words = words_of(batch.column("text"))
-            gone = _spans(batch, words, window)
+            gone = _spans(batch, words, window, factors)
             texts = batch.column("text").to_pylist()
             for i in range(len(texts)):
                 a, b = words.first[i], words.first[i + 1]
@@ -244,4 +249,5 @@ def remove_duplicates(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pa.record_batch(columns, names=names)
 
     names = docs.columns
-    return _with_factors(docs, window).mapInArrow(run, docs.schema)
+    rows, factors = _with_factors(docs, window)
+    return rows.mapInArrow(run, docs.schema)

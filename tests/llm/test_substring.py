@@ -76,3 +76,11 @@ def test_factors_point_at_equal_words(spark):
 
 def test_no_documents(spark):
     assert s.removal_digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_column_names(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage, 7, "m", 1), (2, f"other {passage} end", 8, "n", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __mark string, __FACTORS int")
+    got = s.remove_duplicates(df, 50)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], (2, "other end", 8, "n", 2)]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewatch.session import scratch_path
@@ -18,6 +20,7 @@ _WRITING = {
 }
 CHUNK_BYTES = 2 * 1024 * 1024
 CHUNK_ROWS = 1024
+FILTER_BITS = 1 << 26
 
 
 def store(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
@@ -55,6 +58,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bit_filter(rows: DataFrame, value: Column) -> tuple[np.ndarray, Column]:
+    """Bits of the slots that ``value`` takes in ``rows``, and the slot of a row as a column.
+
+    There are ``FILTER_BITS``, whatever the input, so what comes to the driver is bounded. A row whose bit is not set has no equal
+    in ``rows``; with very many values nearly all bits are set and little is spared.
+    """
+    slot = F.xxhash64(value).bitwiseAND(F.lit(FILTER_BITS - 1))
+    places = rows.select((slot + 1).alias("x"))  # places and buckets count from one
+    found = places.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in found.collect():
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out, slot
+
+
+def bits_at(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set."""
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text and few rows each; a longer text comes alone."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import chunks, partitions, record, rows_of, stored
+from scorewatch.llm.common import bit_filter, bits_at, chunks, partitions, record, rows_of, stored
 from scorewatch.llm.components import components
 from scorewatch.llm.wordhash import Words, mix, salted, window_hashes, words_of
 
@@ -482,17 +482,22 @@ def _blocks() -> Column:
 
 
 def _with_sets(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """``places`` (a document may have several) with ``tokens``; sets are made once a document."""
-    kind = "array<struct<cluster:long,left:int,right:int,mine:int>>"
-    per_document = places.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "left", "right", "mine")).alias("places"))
+    """``places`` (a document may have several) with ``tokens``.
+
+    Sets are made where the texts are read, once a document, and only of documents that pass a filter of fixed size;
+    they are shuffled, not the texts.
+    """
+    per_document = stored(places.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "left", "right", "mine")).alias("places")), "places")
+    bits, slot = bit_filter(per_document, F.col("doc_id"))
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        for batch, sets in _sets(batches, k):
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("places"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "places", "tokens"])
+        wanted = (b.filter(pa.array(bits_at(shared.value, b.column("slot").to_numpy()))) for b in batches)
+        for batch, sets in _sets(wanted, k):
+            yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
 
-    made = texts.join(per_document, "doc_id").select("doc_id", "places", "text").mapInArrow(run, f"doc_id long, places {kind}, tokens binary")
-    return made.select("doc_id", "tokens", F.inline("places"))
+    made = texts.filter("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, tokens binary")
+    return made.join(per_document, "doc_id").select("doc_id", "tokens", F.inline("places"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:

@@ -75,7 +75,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # how special tokens begin; in lower case another text may become one, but not these marks
+        self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.letters = _byte_letters()
         layout = json.loads(self.tokenizer.to_str())
         steps = [n["type"] for n in (layout["normalizer"] or {}).get("normalizers", [])]

@@ -158,3 +158,29 @@ def test_codec_decodes_bytes_that_are_no_text(spark):
     ids = bpe_codec.encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary("🙂")[:1]
     got = bpe_codec.decode_ids(spark.createDataFrame([(1, ids), (2, None)], "doc_id long, ids array<int>"), RANKS, public_tokenizers.PATTERN)
     assert {r["doc_id"]: bytes(r["decoded"]) for r in got.collect()}[2] == b""
+
+
+def test_long_white_space_is_one_match(spark):
+    texts = [" " * 1_000_000 + "word", "a" + "\n" * 2_000_000, "é \t" + " " * 150_000 + "x y", "　" * 120_000, " " * 300_000]
+    codec = bpe_codec.encoding(RANKS, public_tokenizers.PATTERN)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = bpe_codec.decode_ids(bpe_codec.encode_texts(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in got} == dict(enumerate(texts))
+    ids = {r["doc_id"]: r["ids"] for r in got}
+    for i in (2, 3, 4):  # the library can do these whole
+        assert ids[i] == codec.encode_ordinary(texts[i])
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_parts_change_no_ids(longest):
+    codec = bpe_codec.encoding(RANKS, public_tokenizers.PATTERN)
+    for text in [*ODD, "a   b", "   ", "\n\n\nx", "x 　 1", "a \x85 's", "  'll"]:
+        parts = list(bpe_codec.parts_of(text, max(2, longest)))
+        assert "".join(p for _, p in parts) == text
+        ids = [i for space, p in parts for i in (codec._encode_single_piece(p.encode()) if space else codec.encode_ordinary(p))]
+        assert ids == codec.encode_ordinary(text)
+
+
+def test_codec_of_no_documents(spark):
+    tokens = bpe_codec.encode_texts(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    assert bpe_codec.decode_ids(tokens, RANKS, public_tokenizers.PATTERN).collect() == []

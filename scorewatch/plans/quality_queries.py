@@ -172,7 +172,7 @@ def _(t: Tables) -> DataFrame:
     FROM error_rates GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     # here the columns to look at are found in the manifest itself
-    report = quality.dq_report(v.scored(t), v.run_manifest(t), v.baselines(t))
+    report = quality.dq_report(v.scored(t), v.kept_manifest(t), v.baselines(t))
     return report.groupBy("tenant_id", "model_name").agg(
         F.count("*").alias("runs"), F.min("error_rate").alias("lowest"), F.max("error_rate").alias("highest")
     )
@@ -182,7 +182,7 @@ def _(t: Tables) -> DataFrame:
     SELECT tenant_id, model_name, run_id, request_count, error_rate, drift_computation, skipped, max_psi, dq_passed FROM reports""")
 def _(t: Tables) -> DataFrame:
     # counted anew in two parts that share every run; the second is written twice, as after a failure
-    path, rows, manifest = scratch_path(t.spark, "cells"), v.scored(t), v.run_manifest(t)
+    path, rows, manifest = scratch_path(t.spark, "cells"), v.scored(t), v.kept_manifest(t)
     odd = F.col("l_linenumber") % 2 == 1
     for part, some in (("odd", odd), ("even", ~odd), ("even", ~odd)):
         cells.add_cells(quality.run_cells(rows.filter(some), manifest, v.baselines(t), inspect=v.inspected()), path, part)
@@ -195,7 +195,7 @@ def _(t: Tables) -> DataFrame:
     SELECT tenant_id, model_name, run_id, request_count, error_rate, max_psi, dq_passed FROM reports""")
 def _(t: Tables) -> DataFrame:
     # straight from the scored rows, nothing stored
-    report = quality.dq_report(v.scored(t), v.run_manifest(t), v.baselines(t), inspect=v.inspected())
+    report = quality.dq_report(v.scored(t), v.kept_manifest(t), v.baselines(t), inspect=v.inspected())
     return report.select(*RUN, "request_count", "error_rate", "max_psi", "dq_passed")
 
 

@@ -150,6 +150,13 @@ def run_manifest(t: Tables) -> DataFrame:
     )
 
 
+def kept_manifest(t: Tables) -> DataFrame:
+    """The manifest as a platform keeps it: written once, anew by every call, then read; each look at the plain view joins all rows."""
+    path, manifest = scratch_path(t.spark, "manifest"), run_manifest(t)
+    manifest.write.parquet(path)
+    return t.spark.read.schema(manifest.schema).parquet(path)
+
+
 _measured: dict[tuple[str, str], str] = {}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.drift import as_number, bucketize, psi
 from scorewatch.operators import quality
+from scorewatch.plans.catalog import QUERIES
 from scorewatch.values import RUN_KEYS
 
 RUN = ("t", "m", "1", "j", "r1")
@@ -258,3 +259,28 @@ def test_cells_of_parts_add_up_to_the_report_of_the_rows(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 3
     with pytest.raises(ValueError, match="name a part"):
         add_cells(read_cells(spark, path), path, "a/b")
+
+
+def test_registered_reports_make_the_manifest_once(spark, tmp_path):
+    """The example manifest joins all scored rows; a report looks at it several times."""
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "AFRICA"), (4, "ASIA")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "N1", 0), (2, "N2", 4)]),
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string", [(1, 1, "BUILDING"), (2, 2, "MACHINERY")]),
+        "orders": ("o_orderkey long, o_custkey long", [(10, 1), (11, 2)]),
+        "lineitem": (
+            "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+            "l_returnflag string, l_shipdate timestamp",
+            [(o, p, p % 7, float(p), 1000.0 * p, 0.05, "A", dt.datetime(1995, 1 + p % 6, 3)) for o in (10, 11) for p in range(1, 25)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, reads, rows in (("d24_inspected_columns", 1, 2), ("d24_from_rows", 2, 6), ("d24_add_cells", 0, 6)):
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # joins that are left for the report itself; in one of them both sides of a look-back have it
+        assert plan.count("Relation [l_orderkey") <= reads, name
+        got = df.collect()
+        assert len(got) == rows
+        if name == "d24_add_cells":
+            assert sum(r["request_count"] for r in got) == 48

@@ -170,10 +170,11 @@ def duplicate_factors(docs: DataFrame, window: int = 50) -> DataFrame:
         anchors.groupBy("anchor").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").select("anchor"),
         "shared-anchors")
     flags = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    blocks = 4 * partitions(spark)
+    # a block is a task's work, so a task sends at most one row to each task after it
+    blocks = partitions(spark)
     asks = stored(_ask(texts.join(flags, "doc_id"), window, blocks), "windows")
     ask = asks.filter("block IS NOT NULL").select("block", "h1", "h2", "docs", "starts")
-    met = _answer(ask.repartition(partitions(spark), "block").sortWithinPartitions("block"))
+    met = _answer(ask.repartition(blocks, "block").sortWithinPartitions("block"))
     known = asks.filter("block IS NULL").select("doc_id", "start", "windows", "ref_id", "ref_start")
     place = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int").alias(c)
     return stored(known.unionByName(met).select(

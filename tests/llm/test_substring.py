@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scorewatch.llm import substring_dedup as s
 
@@ -84,3 +85,13 @@ def test_clashing_column_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __mark string, __FACTORS int")
     got = s.remove_duplicates(df, 50)
     assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], (2, "other end", 8, "n", 2)]
+
+
+def test_a_task_sends_at_most_one_row_to_each_task_after_it(spark, monkeypatch):
+    held, keep = {}, s.stored
+    monkeypatch.setattr(s, "stored", lambda df, name, *rest: held.setdefault(name, keep(df, name, *rest)))
+    rows = corpus(3)
+    s.duplicate_factors(spark.createDataFrame([(*r[:2], "z") for r in rows], SCHEMA), window=12).collect()
+    asked = held["windows"].filter("block IS NOT NULL")
+    per_task = asked.groupBy(F.input_file_name()).count().collect()
+    assert per_task and all(r["count"] <= s.partitions(spark) for r in per_task)

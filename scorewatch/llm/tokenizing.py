@@ -20,8 +20,9 @@ _SAFE_CUT = re.compile(r"(?<=[^\s']) (?=[^\s])")
 PIECE_CHARS = 1 << 18
 MEMO_UNITS = 400_000
 UNIT_CHARS = 64
-# A unit of letters, with marks behind it or not.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# A unit of letters, with marks behind it or not. Both vocabularies split before a run of marks and keep it whole
+# (an apostrophe may begin a suffix, so it is none of these).
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:

@@ -51,6 +51,19 @@ def test_memo_that_overflows(monkeypatch):
     assert [x.tolist() for x in tokenizing.encode(WORDS, texts)] == [want(t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_words_with_any_marks_behind_share_the_words_ids(path):
+    """The word goes to the merges alone and is kept; only the marks are analysed."""
+    want = _reference(path)
+    encoder = tokenizing._Encoder(path)
+    units = ["heat***", "are.%%%", " the&&", "x_", 'y")', "l'a", "z's", "b-", "Ab#$%|<>"]
+    if encoder.lower:
+        units = [u.strip().lower() for u in units]
+    got = encoder.new_ids(set(units))
+    assert {u: np.frombuffer(got[u], "<u4").tolist() for u in units} == {u: want(u) for u in units}
+    assert {"heat", "are", "***", ".%%%"} <= set(encoder.units.young)
+
+
 def test_codes_of_any_width():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 999):

@@ -1,7 +1,7 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles.
 
 Candidates are found by prefix filters under several global token orders. A document lists,
-per order, only its first shingles; similar documents share one of those under every order.
+per order, only its first shingles; similar documents share some of those under every order.
 Candidates that pass all orders are verified on their whole sets, cluster by cluster.
 """
 
@@ -23,8 +23,10 @@ ORDERS = 2
 # Tokens this often in one task are counted; common ones come last in every order.
 LOCAL_COMMON = 4
 MAX_COMMON = 1 << 20
-# Of larger token groups no pairs are listed; their members are compared by bitmaps, up to a size beyond
-# which they are simply tied together. Either way verification decides.
+# Prefixes are longer by one in so many shingles, so that linked documents share more than one prefix token.
+SPARE = 64
+# Of larger token groups no pairs are listed. Members with more such tokens than their longer prefix makes up for
+# are compared by bitmaps, up to a size beyond which they are simply tied together. Either way verification decides.
 DENSE = 32
 TIED = 4096
 BITS = 1024
@@ -107,13 +109,13 @@ def _bitmap(tokens: np.ndarray) -> bytes:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - max(0, -(-percent * n // 100) - 1 - n // SPARE)
 
 
 _LISTED = "bucket int, a long, b long, n int, keys binary, more binary, docs binary, sizes binary"
 _FOUND = "kind int, a long, b long, n int, m int, shared int, bits binary"
 # kinds of what is found; pairs of order o have kind o + 1
-DOCUMENT, CLUSTER, COPY, MEMBER = -1, -2, -3, -4
+DOCUMENT, CLUSTER, COPY, MEMBER, HOT = -1, -2, -3, -4, -5
 
 
 def _listed(rows: list[tuple], packed: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,10 @@ def _pack_entries(base, buckets, key, doc, size, more=None):
 
 
 def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """What meets in each bucket: copies, pairs of small token groups with how many tokens they share, stars of dense ones."""
+    """What meets in each bucket: copies, pairs of small token groups with how many tokens they share, members of dense ones.
+
+    A member has its token as ``b`` and the order's kind as ``m``.
+    """
     def found(kind, a, b, n=None, m=None, shared=None, bits=None):
         cols = [[kind] * len(a) if isinstance(kind, int) else kind, a, b, *[[None] * len(a) if x is None else x for x in (n, m, shared, bits)]]
         return record({c.split()[0]: (x, t) for c, x, t in zip(
@@ -218,10 +223,11 @@ def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
         key, doc, size = key[order], doc[order], size[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.concatenate([head, [len(key)]]))
-        tied = (count > TIED) | (np.minimum.reduceat(size, head) < 0) & (count > 1)
+        tied = (np.minimum.reduceat(size, head) < 0) & (count > 1)
         dense = tied | (count > DENSE)
         listed = np.repeat(dense & ~tied, count)
-        yield found(MEMBER, doc[listed], salted(key[listed], kind).view(np.int64), size[listed])
+        group = np.where(np.repeat(count > TIED, count)[listed], HOT, MEMBER)
+        yield found(group, doc[listed], salted(key[listed], kind).view(np.int64), size[listed], np.full(len(group), kind))
         in_dense = np.repeat(tied, count)
         stars = np.unique(np.stack([doc[in_dense], np.repeat(doc[head], count)[in_dense]]), axis=1)
         stars = stars[:, stars[0] != stars[1]]
@@ -237,10 +243,10 @@ def _meet(listed: DataFrame, buckets: int, percent: int) -> DataFrame:
             a.append(doc[left][fit]), b.append(doc[right][fit]), n.append(size[left][fit]), m.append(size[right][fit])
         if a:
             a, b, n, m = (np.concatenate(x) for x in (a, b, n, m))
-            order = np.lexsort((b, a))
+            order = np.lexsort((m, n, b, a))
             a, b, n, m = a[order], b[order], n[order], m[order]
             if len(a):
-                at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(a) | np.diff(b) | np.diff(n) | np.diff(m)) != 0]))
                 yield found(kind, a[at], b[at], n[at], m[at], np.diff(np.concatenate([at, [len(a)]])))
 
     def meet(bucket, rows):
@@ -381,14 +387,49 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def _least(total: Column, percent: int, whole: int = 100) -> Column:
+    """``percent`` of ``total`` over ``whole``, rounded up."""
+    return F.floor((F.lit(percent) * total + F.lit(whole - 1)) / F.lit(whole)).cast("long")
+
+
+def _rest(n: Column, percent: int) -> Column:
+    """Shingles beyond the prefix."""
+    return F.greatest(F.lit(0), _least(n, percent) - 1 - F.floor(n / SPARE))
+
+
 def _needed(percent: int) -> Column:
     """How many prefix tokens two documents of ``n`` and ``m`` shingles must share if they link.
 
     Beyond the earlier end of the two prefixes, at most the rest of that document is shared.
     """
-    least = lambda total, whole: F.floor((F.lit(percent) * total + F.lit(whole - 1)) / F.lit(whole)).cast("long")
-    overlap = least(F.col("n") + F.col("m"), 100 + percent)
-    return F.greatest(F.lit(1), overlap - F.greatest(least(F.col("n"), 100), least(F.col("m"), 100)) + 1)
+    overlap = _least(F.col("n") + F.col("m"), percent, 100 + percent)
+    return F.greatest(F.lit(1), overlap - F.greatest(_rest(F.col("n"), percent), _rest(F.col("m"), percent)))
+
+
+def _always_needed(percent: int) -> Column:
+    """How many prefix tokens a document of ``n`` shingles shares at least with any that it links to.
+
+    The smallest of those has ``percent`` of its shingles, and of two documents that link the
+    union's share is at least that of the one whose prefix ends earlier.
+    """
+    smallest = _least(F.col("n"), percent)
+    return _least(smallest, percent) - _rest(smallest, percent)
+
+
+def _dense_ties(found: DataFrame, dense: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Ties within dense token groups, of documents with so many dense prefix tokens (``dense``) that they may share no other.
+
+    Any other document shares a token of a small group, in each order, with all that it links to.
+    """
+    many = F.element_at(F.array(*[F.col(f"d{o}") for o in range(orders)]), F.col("m"))
+    rows = found.filter(F.col("kind").isin(MEMBER, HOT)).select("kind", "a", F.col("b").alias("token"), "n", "m")
+    rows = rows.join(dense, ["a", "n"]).filter(many >= _always_needed(percent)).select("kind", "a", "n", "token")
+    bitmaps = found.filter((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).select("a", "n", "bits").distinct()
+    compared = rows.filter(F.col("kind") == MEMBER).select("a", "token", "n").join(bitmaps, ["a", "n"])
+    compared = compared.repartition(partitions(found.sparkSession), "token").sortWithinPartitions("token", "a")
+    hot = rows.filter(F.col("kind") == HOT)
+    first = hot.groupBy("token").agg(F.min("a").alias("b"))
+    return _tie_similar(compared, percent).unionByName(hot.join(first, "token").select("a", "b").filter("a <> b"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = ORDERS) -> DataFrame:
@@ -410,13 +451,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = O
     copies = found.filter(F.col("kind") == COPY).select("a", "b")
     copied = components(copies)
     per_order = [F.sum(F.when(F.col("kind") == o + 1, F.col("shared"))).alias(f"s{o}") for o in range(orders)]
-    pairs = found.filter(F.col("kind") > 0).groupBy("a", "b").agg(*per_order, F.max("n").alias("n"), F.max("m").alias("m"))
-    passed = pairs.withColumn("__need", _needed(percent))
+    # what two documents share in dense groups is not listed; it is at most what either has there
+    dense = stored(found.filter(F.col("kind").isin(MEMBER, HOT)).groupBy("a", "n").agg(
+        *[F.count_if(F.col("m") == o + 1).alias(f"d{o}") for o in range(orders)]), "dense")
+    other = dense.select(F.col("a").alias("b"), F.col("n").alias("m"), *[F.col(f"d{o}").alias(f"e{o}") for o in range(orders)])
+    passed = found.filter(F.col("kind") > 0).groupBy("a", "b", "n", "m").agg(*per_order).withColumn("__need", _needed(percent))
+    passed = passed.dropna(subset=[f"s{o}" for o in range(orders)]).join(dense, ["a", "n"], "left").join(other, ["b", "m"], "left")
     for o in range(orders):
-        passed = passed.filter(F.col(f"s{o}") >= F.col("__need"))
-    bitmaps = found.filter((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).select("a", "n", "bits").distinct()
-    dense = found.filter(F.col("kind") == MEMBER).select("a", F.col("b").alias("token"), "n").join(bitmaps, ["a", "n"])
-    ties = stored(_tie_similar(dense.repartition(partitions(spark), "token").sortWithinPartitions("token", "a"), percent), "ties")
+        unlisted = F.least(F.coalesce(f"d{o}", F.lit(0)), F.coalesce(f"e{o}", F.lit(0)))
+        passed = passed.filter(F.col(f"s{o}") + unlisted >= F.col("__need"))
+    ties = stored(_dense_ties(found, dense, percent, orders), "ties")
     tied = found.filter(F.col("kind") == CLUSTER).select("a", "b").unionByName(ties).distinct()
     edges = passed.select("a", "b").unionByName(tied)
     to = copied.select(F.col("node").alias("__node"), "component")

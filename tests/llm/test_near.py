@@ -102,6 +102,37 @@ def test_a_cluster_of_several_groups_in_blocks(spark, monkeypatch):
     assert sorted(set(map(str, got))) == sorted(set(brute(rows, 5, 75)))
 
 
+@pytest.mark.parametrize("tied", [4096, 4])
+def test_long_documents_that_share_a_few_common_shingles_are_no_cluster(spark, monkeypatch, tied):
+    """Bitmaps of sets this large are full of ones; the other shingles tell that no two link."""
+    for name, value in {"DENSE": 3, "TIED": tied, "LOCAL_COMMON": 10**9}.items():
+        monkeypatch.setattr(j, name, value)
+    sizes, links = [], j._links
+    monkeypatch.setattr(j, "_links", lambda texts, clusters, *rest: sizes.append(clusters.count()) or links(texts, clusters, *rest))
+    rows = [[f"d{d}w{i}" for i in range(2400 + 10 * d)] for d in range(20)]
+    for r in rows:
+        r[300:300] = [f"p{i}" for i in range(12)]
+    rows += [[*rows[3][:-240], *[f"x{i}" for i in range(240)]], rows[4][:2000]]  # links with 3; links with 4 and has fewer
+    rows = [(d, " ".join(w), "c", 1) for d, w in enumerate(rows)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.jaccard_join(spark.createDataFrame(spark.sparkContext.parallelize(rows, 22), SCHEMA)).collect()]
+    assert sorted(map(str, got)) == brute(rows, 5, 75)
+    assert {d: c for d, _, c in got}[20] == 3 and {d: c for d, _, c in got}[21] == 4
+    assert sizes == [4]
+
+
+def test_prefixes_share_what_is_needed():
+    """The numbers of shingles that prefixes share at least are those of the worst two sets."""
+    for percent in (10, 50, 75, 90, 100):
+        for n in range(1, 260, 7):
+            least = -(-percent * n // 100)
+            for m in range(least, n + 1):
+                overlap = -(-percent * (n + m) // (100 + percent))
+                rest = max(n - j.prefix_length(n, percent), m - j.prefix_length(m, percent))
+                assert 1 <= overlap - rest and 1 <= j.prefix_length(m, percent) <= m
+                small = -(-percent * least // 100) - (least - j.prefix_length(least, percent))
+                assert overlap - rest >= small
+
+
 def test_clashing_column_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6)], "doc_id long, text string, late long")
     assert [tuple(r) for r in j.keep_one(df).collect()] == [(1, "a b c d e f", 5)]

@@ -52,28 +52,56 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-def _runs(doc, start, ref, ref_start) -> pa.RecordBatch:
-    """Factors: neighbouring windows of a document that continue the same place."""
+def _alike(group: np.ndarray, i: int, j: int, most: int) -> int:
+    """How many of ``most`` windows from ``i`` on are those from ``j`` on."""
+    done, step = 0, 64
+    while done < most:
+        n = min(step, most - done)
+        same = group[i + done:i + done + n] == group[j + done:j + done + n]
+        if not same.all():
+            return done + int(same.argmin())
+        done, step = done + n, 4 * step
+    return most
+
+
+def _factors(h1, h2, doc, start) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """Order by document and place, which windows in it an earlier document has, and factors of those.
+
+    A factor starts at the least (document, place) that has its first window, and goes on there
+    as long as it can, so its length does not depend on where the next window was first.
+    """
     order = np.lexsort((start, doc))
-    doc, start, ref, ref_start = doc[order], start[order], ref[order], ref_start[order]
-    head = np.ones(len(doc), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (ref[1:] != ref[:-1]) | (ref_start[1:] != ref_start[:-1] + 1)
-    at = np.flatnonzero(head)
-    return record({
-        "doc_id": (doc[at], pa.int64()), "start": (start[at], pa.int64()),
-        "windows": (np.diff(np.concatenate([at, [len(doc)]])), pa.int32()),
-        "ref_id": (ref[at], pa.int64()), "ref_start": (ref_start[at], pa.int64()),
-    })
-
-
-def _first_places(h1, h2, doc, start):
-    """For each window the least (document, place) that has it; windows come back sorted."""
-    order = np.lexsort((start, doc, h2, h1))
     h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
-    head = np.ones(len(h1), bool)
-    head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    return order, doc, start, doc[first], start[first]
+    by = np.lexsort((h2, h1))  # stable: equal windows stay in the order of documents and places
+    head = np.ones(len(by), bool)
+    head[1:] = (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])
+    group, first = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    group[by] = np.cumsum(head) - 1
+    first[by] = by[np.flatnonzero(head)][group[by]]
+    late = doc > doc[first]
+
+    def ends(cut):
+        at = np.append(np.flatnonzero(cut), len(cut))
+        return np.repeat(at[1:], np.diff(at))
+
+    cut = np.ones(len(by), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    end = ends(cut)  # of the neighbouring windows
+    cut[1:] |= late[1:] != late[:-1]
+    own = ends(cut)
+    at, n = [], []
+    for i in np.flatnonzero(cut & late).tolist():
+        last = int(own[i])
+        while i < last:
+            j = int(first[i])
+            at.append(i)
+            n.append(_alike(group, i, j, min(last - i, int(end[j]) - j)))
+            i += n[-1]
+    at = np.array(at, np.int64)
+    return order, late, record({
+        "doc_id": (doc[at], pa.int64()), "start": (start[at], pa.int64()), "windows": (n, pa.int32()),
+        "ref_id": (doc[first[at]], pa.int64()), "ref_start": (start[first[at]], pa.int64()),
+    })
 
 
 def _ask(flagged: DataFrame, window: int, blocks: int) -> DataFrame:
@@ -85,10 +113,8 @@ def _ask(flagged: DataFrame, window: int, blocks: int) -> DataFrame:
     """
     def flush(held):
         h1, h2, anchor, doc, start = (np.concatenate(x) for x in zip(*held))
-        order, doc, start, ref, ref_start = _first_places(h1, h2, doc, start)
-        h1, h2, anchor = h1[order], h2[order], anchor[order]
-        known = doc > ref
-        found = _runs(doc[known], start[known], ref[known], ref_start[known])
+        order, known, found = _factors(h1, h2, doc, start)
+        h1, h2, anchor, doc, start = (x[order] for x in (h1, h2, anchor, doc, start))
         none = pa.nulls(found.num_rows, pa.binary())
         yield pa.record_batch(
             [pa.nulls(found.num_rows, pa.int32()), *found.columns, *[none] * 4],
@@ -134,9 +160,7 @@ def _answer(asks: DataFrame) -> DataFrame:
     def block_factors(rows):
         h1, h2, doc, start = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (
             ("h1", "<u8"), ("h2", "<u8"), ("docs", "<i8"), ("starts", "<i8")))
-        _, doc, start, ref, ref_start = _first_places(h1, h2, doc, start)
-        late = doc > ref
-        return _runs(doc[late], start[late], ref[late], ref_start[late])
+        return _factors(h1, h2, doc, start)[2]
 
     def run(batches):
         block, rows = None, []

@@ -75,6 +75,24 @@ def test_factors_point_at_equal_words(spark):
         assert any(a[f["start"]:f["start"] + n] == b[f["ref_start"]:f["ref_start"] + n] for a in texts[f["doc_id"]] for b in texts[f["ref_id"]])
 
 
+def test_near_copies_have_few_factors(spark):
+    """A factor ends where one of two copies differs, not where another copy was the first with the next window."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(40):
+        w, at = list(base), rng.choice(400, 4, replace=False)
+        for p in at:
+            w[p] = f"d{d}p{p}"
+        rows.append((d, " ".join(w), "x"))
+    found = s.duplicate_factors(spark.createDataFrame(rows, SCHEMA).coalesce(1), 12).collect()
+    texts = {d: t.split() for d, t, _ in rows}
+    assert all(texts[f["doc_id"]][f["start"]:f["start"] + f["windows"] + 11] == texts[f["ref_id"]][f["ref_start"]:f["ref_start"] + f["windows"] + 11] for f in found)
+    assert len(found) <= 39 * 9  # a piece ends at an edit of either copy
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in s.removal_digests(spark.createDataFrame(rows, SCHEMA), 12).collect())
+    assert got == brute(rows, 12)
+
+
 def test_no_documents(spark):
     assert s.removal_digests(spark.createDataFrame([], SCHEMA)).collect() == []
 

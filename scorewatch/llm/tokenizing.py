@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import operator
 import re
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Both vocabularies used here split a text before merging, and never across these
 # units: a run of plain letters (with one blank before) that ends at white space or
@@ -20,9 +24,15 @@ _SAFE_CUT = re.compile(r"(?<=[^\s']) (?=[^\s])")
 PIECE_CHARS = 1 << 18
 MEMO_UNITS = 400_000
 UNIT_CHARS = 64
+GROUP = 32
 # A unit of letters, with marks behind it or not. Both vocabularies split before a run of marks and keep it whole
 # (an apostrophe may begin a suffix, so it is none of these).
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+# Without these, all white space is single blanks and line ends, no two side by side: a token ends before each and after a line end.
+_WIDE = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
+# Marks a word with no blank before it; a text that has this character is encoded whole.
+_BARE = "\x0b"
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -45,22 +55,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo:
-    """Ids of units met lately: of the last ``MEMO_UNITS`` new ones and as many before."""
+    """Ids of units made lately: of the last ``MEMO_UNITS`` at least, and at most of twice as many."""
 
     def __init__(self, make: Callable[[set[str]], dict[str, bytes]]):
         self.make = make
         self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def parts(self, units: list[str]) -> list[bytes]:
         parts = list(map(self.young.get, units))
         if None in parts:
-            missing = {u for u, p in zip(units, parts) if p is None}
-            own = {u: self.old[u] for u in missing if u in self.old}
-            own |= self.make(missing.difference(own))
-            if len(self.young) + len(own) > MEMO_UNITS:
-                self.old, self.young = self.young, {}
-            self.young.update((u, ids) for u, ids in own.items() if len(u) <= UNIT_CHARS)
+            own = self.make({u for u, p in zip(units, parts) if p is None})
+            over = len(self.young) + len(own) - 2 * MEMO_UNITS
+            if over > 0:
+                self.young = dict(itertools.islice(self.young.items(), over + MEMO_UNITS, None))
+            self.young.update(own if max(map(len, own)) <= UNIT_CHARS else {u: ids for u, ids in own.items() if len(u) <= UNIT_CHARS})
             parts = [own[u] if p is None else p for u, p in zip(units, parts)]
         return parts
 
@@ -76,6 +84,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
         # how special tokens begin; in lower case another text may become one, but not these marks
         self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.letters = _byte_letters()
@@ -85,7 +94,12 @@ class _Encoder:
         # the two layouts whose treatment of plain letters is known
         self.lower = steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         self.plain = self.lower or (layout["normalizer"] is None and splits == ["ByteLevel"])
+        # the letter of a byte that no text has: if nothing merges with it, words beside it get their own ids
+        joint = self.letters[0xC0]
+        alone = joint in layout["model"]["vocab"] and not any(joint in "".join(m) for m in layout["model"]["merges"])
+        self.joint = joint if self.plain and not self.lower and alone else None
         self.units = _Memo(self.new_ids)
+        self.words = _Memo(self.word_ids)
 
     def new_ids(self, units: set[str]) -> dict[str, bytes]:
         """Ids of units; words of letters go to the merges without further analysis, marks after them apart."""
@@ -109,6 +123,60 @@ class _Encoder:
             own |= {u: _bytes(e.ids) for u, e in zip(mixed, encoded)}
         return own
 
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words in byte letters by the merges alone, many words a call."""
+        texts = [self.joint.join(words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
+        end = self.tokenizer.token_to_id(self.joint)
+        flat = array("I")
+        for e in self.merges.encode_batch_fast(texts, add_special_tokens=False):
+            flat.extend(e.ids)
+            flat.append(end)
+        cuts = (4 * np.flatnonzero(np.frombuffer(flat, np.uint32) == end)).tolist()
+        raw = flat.tobytes()
+        return [raw[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], cuts)]
+
+    def word_ids(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of what lies between blanks, with the blank before it; of line ends, and of words after ``_BARE``, alone."""
+        plain, letters, marked, bases, marks, others, blank = [], [], [], [], [], {}, self.letters[32]
+        for w in words:
+            if w.isalpha() and (w.isascii() or max(w) <= "ÿ"):
+                plain.append(w)
+                letters.append(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)))
+                continue
+            word = w.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+                marked.append(w)
+                bases.append(word)
+                marks.append(w[len(word):])
+            else:
+                others[w] = w if w == "\n" else w[1:] if w[:1] == _BARE else " " + w
+        own = dict(zip(plain, self.merged(letters)))
+        if marked:
+            apart = list(set(bases).difference(own))
+            own.update(zip(apart, self.words.parts(apart)))
+            own.update(zip(marked, map(operator.add, map(own.get, bases), self.units.parts(marks))))
+        if others:
+            ids = self.new_ids(set(others.values()))
+            own.update((w, ids[u]) for w, u in others.items())
+        return own
+
+    def together(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens, ``_ODD`` or ``_WIDE`` white space, for a layout that keeps the case.
+
+        Each different word of all these texts is looked up once; the ids of the texts are gathered from theirs.
+        """
+        words = pc.split_pattern(pa.array([_BARE + t.replace("\n", " \n " + _BARE) for t in texts], pa.large_string()), " ")
+        coded = words.values.dictionary_encode()
+        parts = self.words.parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        each = coded.indices.to_numpy()
+        n = sizes[each]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[each] - (ends - n), n) + np.arange(n.sum())
+        ids = np.frombuffer(b"".join(parts), "<u4")[place]
+        cuts = np.concatenate([[0], ends])[words.offsets.to_numpy()]
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+
     def whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -132,9 +200,18 @@ def encode(path: str, texts: list[str]) -> list[np.ndarray]:
     """
     encoder = _encoder(path)
 
-    def ids(text: str) -> bytes:
+    out, plain = [np.zeros(0, "<u4")] * len(texts), []
+    for i, text in enumerate(texts):
+        if not text:
+            continue
         if any(x in text for x in encoder.special):
-            return encoder.whole(text)
-        return b"".join([encoder.piece(p) for p in pieces(text)])
-
-    return [np.frombuffer(ids(t) if t else b"", "<u4") for t in texts]
+            out[i] = np.frombuffer(encoder.whole(text), "<u4")
+        elif not encoder.joint or _ODD.search(text) or any(x in text for x in _WIDE):
+            out[i] = np.frombuffer(b"".join([encoder.piece(p) for p in pieces(text)]), "<u4")
+        elif len(text) > PIECE_CHARS:
+            out[i] = np.concatenate([encoder.together([p])[0] for p in pieces(text)])
+        else:
+            plain.append(i)
+    for i, ids in zip(plain, encoder.together([texts[i] for i in plain]) if plain else []):
+        out[i] = ids
+    return out

@@ -64,6 +64,36 @@ def test_words_with_any_marks_behind_share_the_words_ids(path):
     assert {"heat", "are", "***", ".%%%"} <= set(encoder.units.young)
 
 
+def test_texts_together_keep_each_texts_ids(monkeypatch):
+    """All texts of a call share their words; white space that a cut would split sends a text to the library."""
+    want, rng = _reference(BYTES), np.random.default_rng(5)
+    bits = ["a", "Heat", "heat,", "l'", "'s", "été", "ßµª", "x.", "!?", "12", "à-b", "€", "🙂.", "\n", "\n", " ", " ", " ", " ", " ", "\t", "\r", "\x0b"]
+    texts = ["".join(rng.choice(bits[:int(rng.integers(15, len(bits) + 1))], rng.integers(0, 30))) for _ in range(3000)] + ODD
+    assert [x.tolist() for x in tokenizing.encode(BYTES, texts)] == [want(t) for t in texts]
+    monkeypatch.setattr(tokenizing, "PIECE_CHARS", 20)
+    assert [x.tolist() for x in tokenizing.encode(BYTES, texts)] == [want(t) for t in texts]
+
+
+def test_words_are_looked_up_once_a_call_and_new_ones_merged_in_few_calls(monkeypatch):
+    encoder, want = tokenizing._Encoder(BYTES), _reference(BYTES)
+    looked, merges = [], encoder.merges
+    parts = encoder.words.parts
+    monkeypatch.setattr(encoder.words, "parts", lambda units: looked.append(list(units)) or parts(units))
+
+    class Counted:
+        calls = 0
+
+        def encode_batch_fast(self, texts, **options):
+            Counted.calls += 1
+            return merges.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "merges", Counted())
+    monkeypatch.setattr(tokenizing, "_encoder", lambda path: encoder)
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(k, k + 300)) + "\nthe cat, the cat." for k in range(40)]
+    assert [x.tolist() for x in tokenizing.encode(BYTES, texts)] == [want(t) for t in texts]
+    assert len(looked[0]) == len(set(looked[0])) < 500 and Counted.calls <= 2
+
+
 def test_codes_of_any_width():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 999):

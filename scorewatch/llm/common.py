@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,24 @@ _WRITING = {
 }
 CHUNK_BYTES = 2 * 1024 * 1024
 CHUNK_ROWS = 1024
+# For work that makes some ten values of eight bytes of every byte.
+SMALL_BYTES, SMALL_ROWS = 256 * 1024, 128
 FILTER_BITS = 1 << 26
 
 
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as a job has ended, and Python gets smaller batches."""
+    before = {key: spark.conf.get(key) for key in _WRITING}
+    try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def store(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to ``path`` and read it back.
 
@@ -30,14 +46,8 @@ def store(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     write are released as soon as it has ended.
     """
     spark = df.sparkSession
-    before = {key: spark.conf.get(key) for key in _WRITING}
-    try:
-        for key, value in _WRITING.items():
-            spark.conf.set(key, value)
+    with writing(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
@@ -78,13 +88,13 @@ def bits_at(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text and few rows each; a longer text comes alone."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text and at most ``rows`` rows each; a longer text comes alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
-            if i > start and (held + size > limit or i - start >= CHUNK_ROWS):
+            if i > start and (held + size > limit or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -92,6 +102,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start, len(sizes) - start)
 
 
+def small_chunks(batches: Iterator[pa.RecordBatch], rows: int = SMALL_ROWS) -> Iterator[pa.RecordBatch]:
+    """``chunks`` of so little text that arrays made of it take a few megabytes each.
+
+    The C library gives such blocks back to the system again and again, which takes more time than the work; once it was given
+    back a large one, it keeps up to twice that size instead (glibc; elsewhere this has no effect).
+    """
+    np.empty(30 << 20, np.uint8)
+    return chunks(batches, limit=SMALL_BYTES, rows=rows)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 64) -> Iterator[dict]:
     """Rows as dicts, few at a time, so that large values are not held twice over."""
     for batch in batches:

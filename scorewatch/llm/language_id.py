@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import chunks, record
+from scorewatch.llm.common import record, small_chunks, writing
 from scorewatch.llm.wordhash import mix, words_of
 
 UNKNOWN = "und"
@@ -39,10 +39,10 @@ STEPS = 1000
 def gram_counts(texts: pa.Array) -> np.ndarray:
     """Hashed byte n-grams of each text's words (blank before and after, A-Z as a-z), as rows of ``BINS``."""
     words = words_of(texts)
-    n, out = len(words.first) - 1, []
-    counts = np.zeros(n * BINS, np.float32)
+    n = len(words.first) - 1
+    counts = np.zeros(n * BINS, np.int32)
     if not len(words.starts):
-        return counts.reshape(n, BINS)
+        return counts.astype(np.float32).reshape(n, BINS)
     # words with one blank before each
     sizes = words.ends - words.starts
     place = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -57,8 +57,8 @@ def gram_counts(texts: pa.Array) -> np.ndarray:
             ahead = np.full(len(row), 32, np.uint64)  # past the text's end: blanks
             ahead[: len(row) - i] = np.where(row[i:] == row[: len(row) - i], flat[i:len(row)], np.uint64(32))
             key = key << np.uint64(8) | ahead
-        out.append(np.bincount(row * BINS + (mix(key) % np.uint64(BINS)).astype(np.int64), minlength=n * BINS))
-    return sum(out).astype(np.float32).reshape(n, BINS)
+        counts += np.bincount(row * BINS + (mix(key) % np.uint64(BINS)).astype(np.int64), minlength=n * BINS).astype(np.int32)
+    return counts.astype(np.float32).reshape(n, BINS)
 
 
 @dataclass
@@ -142,18 +142,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(BINS, np.int64), 0
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             total += (gram_counts(batch.column("text")) > 0).sum(0)
             rows += batch.num_rows
         yield record({"bin": ([-1, *range(BINS)], pa.int32()), "n": ([rows, *total], pa.int64())})
 
-    seen = {r["bin"]: r["n"] for r in known.mapInArrow(frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    with writing(docs.sparkSession):
+        sums = known.mapInArrow(frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    seen = {r["bin"]: r["n"] for r in sums}
     if not seen.get(-1):
         return None
     idf = np.log((1 + seen[-1]) / (1 + np.array([seen[i] for i in range(BINS)], float))) + 1
 
     def counted(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             counts = gram_counts(batch.column("text"))
             yield record({
                 "lang": (batch.column("lang"), pa.string()), "place": (batch.column("place"), pa.int64()),
@@ -163,7 +165,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
     # the whole hash decides between equal places, and the counts between equal ids
     hashed = known.withColumn("hash", F.xxhash64("doc_id", F.lit("sample"))).withColumn("place", F.pmod("hash", F.lit(1 << 20)))
     drawn = hashed.join(F.broadcast(share), "lang").filter(F.col("place") < F.lit(1.3 * sample * (1 << 20)) / F.col("__n"))
-    rows = drawn.select("lang", "place", "hash", "text").mapInArrow(counted, "lang string, place long, hash long, counts binary").toArrow()
+    with writing(docs.sparkSession):
+        rows = drawn.select("lang", "place", "hash", "text").mapInArrow(counted, "lang string, place long, hash long, counts binary").toArrow()
     by_lang: dict[str, list] = {}
     for lang, _, _, raw in sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "place", "hash", "counts")))):
         by_lang.setdefault(lang, []).append(np.frombuffer(raw, "<u4"))
@@ -179,13 +182,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = C
 
     def reached(batches):
         seen = np.zeros(np.prod(shape), np.int64)
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             lang, cosine, length = shared.value.predict(batch.column("text"))
             np.add.at(seen, np.ravel_multi_index((lang, length, (cosine * STEPS).astype(np.int64)), shape), 1)
         at = np.flatnonzero(seen)
         yield record({"at": (at, pa.int64()), "n": (seen[at], pa.int64())})
 
-    cosines = known.mapInArrow(reached, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    with writing(docs.sparkSession):
+        cosines = known.mapInArrow(reached, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(np.prod(shape), np.int64)
     seen[cosines.column("at").to_numpy()] = cosines.column("n").to_numpy()
     model.least = limits(seen.reshape(shape))
@@ -215,7 +219,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             lang, score, rejected = _predicted(batch, shared.value)
             yield record({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "lang_pred": (lang, pa.string()),
@@ -229,7 +233,7 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             yield batch.filter(pa.array(~_predicted(batch, shared.value)[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import chunks, record, texts_of
+from scorewatch.llm.common import CHUNK_ROWS, chunks, record, small_chunks, texts_of, writing
 from scorewatch.llm.wordhash import Words, mix, window_hashes, words_of
 
 # Character classes, by byte: small, capital, digit, blank, line end, stop, mark, symbol, other ASCII, beyond ASCII.
@@ -111,7 +111,9 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     sums = known.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     found: dict[tuple[str, int], list] = {}
-    for r in _top(sums, max(CLASSES, rules.common_words, TASK_SHARE)).collect():
+    with writing(docs.sparkSession):
+        tops = _top(sums, max(CLASSES, rules.common_words, TASK_SHARE)).collect()
+    for r in tops:
         found.setdefault((r["lang"], r["kind"]), []).append(r)
     candidates = {lang: np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64)) for (lang, kind), top in found.items() if kind == 1}
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
@@ -134,7 +136,9 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
 
     exact = known.mapInArrow(again, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     common: dict[str, list] = {}
-    for r in _top(exact, rules.common_words).collect():
+    with writing(docs.sparkSession):
+        tops = _top(exact, rules.common_words).collect()
+    for r in tops:
         common.setdefault(r["lang"], []).append(r)
     langs = sorted({lang for lang, _ in found})
     classes = np.zeros((len(langs), CLASSES))
@@ -230,7 +234,7 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules()) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(references)
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches, CHUNK_ROWS):
             found = _verdicts(batch, shared.value, rules)
             kinds = {"base_failed": pa.bool_(), "kept": pa.bool_(), "class_distance": pa.float64(), "common_distance": pa.float64()}
             yield record({"doc_id": (batch.column("doc_id"), pa.int64())} | {c: (x, kinds.get(c, pa.int64())) for c, x in found.items()})
@@ -245,7 +249,7 @@ def keep_good(docs: DataFrame, references: References, rules: Rules = Rules()) -
     shared = docs.sparkSession.sparkContext.broadcast(references)
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches, CHUNK_ROWS):
             yield batch.filter(pa.array(_verdicts(batch, shared.value, rules)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """Quality rules and language identification: counts against plain code, distances, held-out accuracy."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -169,3 +170,26 @@ def test_sample_does_not_depend_on_length(spark, monkeypatch):
     first = sorted(order, key=lambda r: (r["h"] % 2**20, r["h"]))[:100]
     want = model.vectors(lang.gram_counts(pa.array([r["text"] for r in first])))
     assert np.allclose(drawn[0], want, atol=1e-6)
+
+
+def test_memory_of_a_task_is_small(spark):
+    """Two megabytes of text in a batch took 200 MB and more in arrays."""
+    class Docs:
+        sparkSession, schema = spark, SCHEMA
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(6)
+    small = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**4, 700)) for _ in range(600)])
+    batch = pa.record_batch([pa.array(range(600)), small, pa.array(["en"] * 600), pa.array([""] * 600)], names=["doc_id", "text", "lang", "kept"])
+    centroids = np.full((2, lang.BINS), lang.BINS**-0.5, np.float32)
+    model = lang.Model(["de", "en"], centroids, np.arange(2), np.ones(lang.BINS, np.float32), np.zeros((2, lang.LENGTHS)))
+    words = words_of(small)
+    references = q.References(["en"], q.class_counts(words).sum(0)[None].astype(float), [np.zeros(0, np.uint64)], [np.ones(1)])
+    for run in (lang.keep_known(Docs(), model), q.keep_good(Docs(), references)):
+        tracemalloc.start()
+        kept = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert kept == 600 and peak < 80e6  # 31 MB of them are given back at once

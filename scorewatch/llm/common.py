@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 
 from scorewatch.session import scratch_path
 
-# While a table is written: shuffle files go when it is done, and Python gets smaller batches.
+# While a table is written: shuffle files go when it is done, and Python gets smaller batches, by rows and by bytes
+# (a batch is held as buffers of Spark, as a message and as a table in Python, and rows with packed entries are large).
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 CHUNK_BYTES = 2 * 1024 * 1024
 CHUNK_ROWS = 1024

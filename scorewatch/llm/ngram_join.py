@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import bit_filter, bits_at, chunks, partitions, record, rows_of, stored
+from scorewatch.llm.common import bit_filter, bits_at, partitions, record, rows_of, small_chunks, stored
 from scorewatch.llm.components import components
 from scorewatch.llm.wordhash import Words, mix, salted, window_hashes, words_of
 
@@ -53,7 +53,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
-    for batch in chunks(batches):
+    for batch in small_chunks(batches):
         yield batch, shingle_sets(words_of(batch.column("text"), lower=True), k)
 
 
@@ -65,21 +65,25 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     ``MAX_COMMON`` most frequent are kept, so the table has a fixed bound.
     """
     def run(batches):
-        held, size = [], 0
+        held, size = np.empty(4 * FLUSH, np.uint64), 0
 
-        def counts():
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            much = n >= LOCAL_COMMON
-            return record({"token": (token[much].view(np.int64), pa.int64()), "n": (n[much], pa.int64())})
+        def counts(token):
+            token.sort()
+            # of a run of n equal tokens, the first n + 1 - LOCAL_COMMON are equal to the token LOCAL_COMMON - 1 further
+            much = token[:-LOCAL_COMMON + 1]
+            much, n = np.unique(much[much == token[LOCAL_COMMON - 1:]], return_counts=True)
+            return record({"token": (much.view(np.int64), pa.int64()), "n": (n + (LOCAL_COMMON - 1), pa.int64())})
 
         for _, sets in _sets(batches, k):
-            held += sets
-            size += sum(map(len, sets))
-            if size > 4 * FLUSH:
-                yield counts()
-                held, size = [], 0
-        if held:
-            yield counts()
+            for tokens in sets:
+                if len(tokens) > len(held):  # all different, so none is counted more than once
+                    continue
+                if size + len(tokens) > len(held):
+                    yield counts(held[:size])
+                    size = 0
+                held[size:size + len(tokens)] = tokens
+                size += len(tokens)
+        yield counts(held[:size])
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "token").limit(MAX_COMMON).toArrow()
@@ -176,7 +180,7 @@ def _index(docs: DataFrame, k: int, percent: int, orders: int, buckets: int, com
                     lists[o].append((keys, np.full(p, doc, np.int64), np.full(p, len(tokens), np.int32)))
                 size += orders * p
             yield from _listed(rows, [])
-            if size > FLUSH:
+            if size > FLUSH // 2:
                 yield from flush(lists)
                 lists, size = [[] for _ in range(orders)], 0
         yield from flush(lists)

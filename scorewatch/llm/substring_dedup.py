@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import chunks, partitions, record, stored
+from scorewatch.llm.common import partitions, record, small_chunks, stored
 from scorewatch.llm.wordhash import Words, joined_words, mix, sliding_min, window_hashes, words_of
 
 GRAM = 8
@@ -41,7 +41,7 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             words, ids = words_of(batch.column("text")), _rows(batch)
             starts, anchors = _anchors(words, window)
             row = words.row_of_word()[starts]
@@ -133,7 +133,7 @@ def _ask(flagged: DataFrame, window: int, blocks: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             words, ids = words_of(batch.column("text")), _rows(batch)
             starts, anchors = _anchors(words, window)
             row = words.row_of_word()[starts]
@@ -237,7 +237,7 @@ def removal_digests(docs: DataFrame, window: int = 50) -> DataFrame:
     import hashlib
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             words = words_of(batch.column("text"))
             gone = _spans(batch, words, window, factors)
             out, ends = joined_words(words, ~gone)
@@ -258,7 +258,7 @@ def remove_duplicates(docs: DataFrame, window: int = 50) -> DataFrame:
     A removed stretch goes with the white space after it. A document may end up with an empty text.
     """
     def run(batches):
-        for batch in chunks(batches):
+        for batch in small_chunks(batches):
             words = words_of(batch.column("text"))
             gone = _spans(batch, words, window, factors)
             texts = batch.column("text").to_pylist()

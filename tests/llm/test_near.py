@@ -1,11 +1,14 @@
 """Similarity join and components against brute force."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorewatch.llm import ngram_join as j
+from scorewatch.llm.common import stored
 from scorewatch.llm.components import components
 
 SCHEMA = "doc_id long, text string, component string, n long"
@@ -151,3 +154,41 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == roots(nodes, [e for e in edges if e[0] != e[1]])
     assert len(got) == len(nodes)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_memory_of_counting_common_shingles(spark, monkeypatch):
+    """The shingles of a task were held three times over; which are common does not change."""
+    monkeypatch.setattr(j, "FLUSH", 1 << 19)
+
+    class Docs:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            raise StopIteration
+
+    docs, rng = Docs(), np.random.default_rng(8)
+    with pytest.raises(StopIteration):
+        j.common_shingles(docs, 5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**5, 400)) for _ in range(4800)]
+    texts = [t + " one two three four five six" if i % 3 == 0 else t for i, t in enumerate(texts)]
+    batches = [pa.record_batch([pa.array(texts[i:i + 100])], names=["text"]) for i in range(0, 4800, 100)]
+    tracemalloc.start()
+    found = [x for b in docs.run(iter(batches)) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(x["n"] for x in found) == [1600, 1600] and peak < 60e6  # 31 MB of them are given back at once
+
+
+def test_batches_of_stored_tables_are_small(spark):
+    """2,000 rows with packed entries made a batch of up to 64 MB."""
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    rows = spark.range(0, 400, 1, 1).selectExpr("repeat(cast(id AS string), 20000) AS text")
+    got = stored(rows.mapInArrow(run, "size long, n long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 400 and max(r["size"] for r in got) < 6e6

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from scorewatch.llm import components as parts
 from scorewatch.llm import ngram_join as j
 from scorewatch.llm.common import stored
 from scorewatch.llm.components import components
@@ -156,6 +157,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_few_edges_are_written_by_few_tasks(spark, monkeypatch):
+    """Each table of each round had a file for every shuffle partition."""
+    kept = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in kept}
+    files = []
+
+    def counted(df, name):
+        out = stored(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(parts, "stored", counted)
+    edges = [(i, i + 1) for i in range(400)] + [(1000, 1001 + i) for i in range(400)]
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r["node"]: r["component"] for r in got.collect()} == roots({x for e in edges for x in e}, edges)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_memory_of_counting_common_shingles(spark, monkeypatch):
     """The shingles of a task were held three times over; which are common does not change."""
     monkeypatch.setattr(j, "FLUSH", 1 << 19)

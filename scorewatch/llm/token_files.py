@@ -22,14 +22,22 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.u
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes (four values each, two bits a value) and data bytes of unsigned values."""
-    v = np.ascontiguousarray(values, "<u4")
+    return pack_streams(values, [len(values)])[:2]
+
+
+def pack_streams(values: np.ndarray, counts: list[int]) -> tuple[bytes, bytes, np.ndarray]:
+    """``pack`` of each so many values, one after the other, and how many data bytes each of these streams has."""
+    v, counts = np.ascontiguousarray(values, "<u4"), np.asarray(counts, np.int64)
     extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = extra
+    slots = -(-counts // 4) * 4  # a stream fills its last control byte
+    padded = np.zeros(slots.sum(), np.uint8)
+    ends = np.cumsum(counts)
+    padded[np.arange(len(v)) + np.repeat(np.cumsum(slots) - slots - (ends - counts), counts)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(extra, dtype=np.int64)])[np.concatenate([[0], ends])]) + counts
+    return control.astype(np.uint8).tobytes(), data.tobytes(), sizes
 
 
 def unpack(control: bytes, data: bytes, counts: list[int]) -> np.ndarray:
@@ -78,7 +86,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -107,23 +115,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
         part, seq, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def out():
+            lengths = [len(x) for _, x in held]
+            control, data, sizes = pack_streams(shared.value[np.concatenate([x for _, x in held])], lengths)
             return record({
                 "part": ([part], pa.int32()), "seq": ([seq], pa.int64()), "start": ([start], pa.int64()),
-                "doc_ids": ([[d for d, *_ in held]], pa.list_(pa.int64())),
-                "lengths": ([[n for _, n, *_ in held]], pa.list_(pa.int64())),
+                "doc_ids": ([[d for d, _ in held]], pa.list_(pa.int64())),
+                "lengths": ([lengths], pa.list_(pa.int64())),
                 "n_tokens": ([size], pa.int64()),
-                "control": ([b"".join(c for _, _, c, _ in held)], pa.binary()),
-                "data": ([b"".join(x for *_, x in held)], pa.binary()),
-                "data_sizes": ([[len(x) for *_, x in held]], pa.list_(pa.int64())),
+                "control": ([control], pa.binary()),
+                "data": ([data], pa.binary()),
+                "data_sizes": ([sizes], pa.list_(pa.int64())),
             })
 
         for r in rows_of(batches):
-            ranked = shared.value[_wide(r["ids"])]
-            if held and size + len(ranked) > BLOCK_TOKENS:
+            ids = _wide(r["ids"])
+            if held and size + len(ids) > BLOCK_TOKENS:
                 yield out()
                 seq, start, held, size = seq + 1, start + size, [], 0
-            held.append((r["doc_id"], len(ranked), *pack(ranked)))
-            size += len(ranked)
+            held.append((r["doc_id"], ids))
+            size += len(ids)
         if held:
             yield out()
 

@@ -73,6 +73,15 @@ class _Memo:
         return parts
 
 
+def _latin(text: str) -> bool:
+    """Whether no character is beyond U+00FF; much faster than the largest one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()  # much faster than numpy for a few ids
 
@@ -84,7 +93,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.tokenizer.model)
+        self.model = self.tokenizer.model
+        self.merges = Tokenizer(self.model)
         # how special tokens begin; in lower case another text may become one, but not these marks
         self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.letters = _byte_letters()
@@ -103,7 +113,7 @@ class _Encoder:
 
     def new_ids(self, units: set[str]) -> dict[str, bytes]:
         """Ids of units; words of letters go to the merges without further analysis, marks after them apart."""
-        own, mixed, marked, model = {}, [], [], self.tokenizer.model
+        own, mixed, marked, model = {}, [], [], self.model
         for u in units:
             word = _WORD.fullmatch(u) if self.plain else None
             if word is None:
@@ -124,7 +134,9 @@ class _Encoder:
         return own
 
     def merged(self, words: list[str]) -> list[bytes]:
-        """Ids of words in byte letters by the merges alone, many words a call."""
+        """Ids of words in byte letters by the merges alone; many words a call, unless they end in a suffix of their own."""
+        if self.lower:
+            return [_bytes([t.id for t in self.model.tokenize(w)]) for w in words]
         texts = [self.joint.join(words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
         end = self.tokenizer.token_to_id(self.joint)
         flat = array("I")
@@ -136,20 +148,23 @@ class _Encoder:
         return [raw[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], cuts)]
 
     def word_ids(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of what lies between blanks, with the blank before it; of line ends, and of words after ``_BARE``, alone."""
-        plain, letters, marked, bases, marks, others, blank = [], [], [], [], [], {}, self.letters[32]
+        """Ids of what lies between blanks, with the blank before it; of line ends, and of words after ``_BARE``, alone.
+
+        A layout in lower case drops blanks, and all its words here are up to U+00FF.
+        """
+        plain, letters, marked, bases, marks, others, blank = [], [], [], [], [], {}, "" if self.lower else self.letters[32]
         for w in words:
-            if w.isalpha() and (w.isascii() or max(w) <= "ÿ"):
+            if w.isalpha() and (self.lower or w.isascii() or max(w) <= "ÿ"):
                 plain.append(w)
                 letters.append(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)))
                 continue
             word = w.rstrip(_MARKS)
-            if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+            if word.isalpha() and (self.lower or word.isascii() or max(word) <= "ÿ"):
                 marked.append(w)
                 bases.append(word)
                 marks.append(w[len(word):])
             else:
-                others[w] = w if w == "\n" else w[1:] if w[:1] == _BARE else " " + w
+                others[w] = w if self.lower or w == "\n" else w[1:] if w[:1] == _BARE else " " + w
         own = dict(zip(plain, self.merged(letters)))
         if marked:
             apart = list(set(bases).difference(own))
@@ -160,12 +175,21 @@ class _Encoder:
             own.update((w, ids[u]) for w, u in others.items())
         return own
 
+    def shares_words(self, text: str) -> bool:
+        """Whether ``together`` may take a text without special tokens."""
+        if self.lower:  # lower case is letter by letter up to U+00FF, and such text has no other composed form
+            return _latin(text) and not _ODD.search(text)
+        return self.joint is not None and not _ODD.search(text) and not any(x in text for x in _WIDE)
+
     def together(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts without special tokens, ``_ODD`` or ``_WIDE`` white space, for a layout that keeps the case.
+        """Ids of texts that ``shares_words`` lets pass.
 
         Each different word of all these texts is looked up once; the ids of the texts are gathered from theirs.
         """
-        words = pc.split_pattern(pa.array([_BARE + t.replace("\n", " \n " + _BARE) for t in texts], pa.large_string()), " ")
+        if self.lower:
+            words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        else:
+            words = pc.split_pattern(pa.array([_BARE + t.replace("\n", " \n " + _BARE) for t in texts], pa.large_string()), " ")
         coded = words.values.dictionary_encode()
         parts = self.words.parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -183,9 +207,6 @@ class _Encoder:
     def piece(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.whole(text)
-        # lower case is letter by letter up to U+00FF, and such text has no other composed form
-        if self.lower and (text.isascii() or max(text) <= "ÿ"):
-            return b"".join(self.units.parts(text.lower().split()))
         return b"".join(self.units.parts(_UNIT.findall(text)))
 
 
@@ -206,7 +227,7 @@ def encode(path: str, texts: list[str]) -> list[np.ndarray]:
             continue
         if any(x in text for x in encoder.special):
             out[i] = np.frombuffer(encoder.whole(text), "<u4")
-        elif not encoder.joint or _ODD.search(text) or any(x in text for x in _WIDE):
+        elif not encoder.shares_words(text):
             out[i] = np.frombuffer(b"".join([encoder.piece(p) for p in pieces(text)]), "<u4")
         elif len(text) > PIECE_CHARS:
             out[i] = np.concatenate([encoder.together([p])[0] for p in pieces(text)])

@@ -94,6 +94,32 @@ def test_words_are_looked_up_once_a_call_and_new_ones_merged_in_few_calls(monkey
     assert len(looked[0]) == len(set(looked[0])) < 500 and Counted.calls <= 2
 
 
+def test_lower_case_words_are_looked_up_once_a_call(monkeypatch):
+    """Every occurrence was looked up, and words with marks behind went through a pattern."""
+    asked, parts = [], tokenizing._Memo.parts
+
+    def counted(memo, units):
+        asked.append(len(units))
+        return parts(memo, units)
+
+    reference = _reference(WORDS)
+    texts = ["The cat, Über alle;\n saß ªº µm Don't... x1 " * 30 + f"end{chr(97 + i)}" for i in range(20)] + ["", "  ", " \r\n a \t", "Ÿ ß", *ODD]
+    want = [reference(t) for t in texts]
+    monkeypatch.setattr(tokenizing._Memo, "parts", counted)
+    tokenizing._encoder.cache_clear()
+    assert [x.tolist() for x in tokenizing.encode(WORDS, texts)] == want
+    assert sum(asked) < 600  # 30 times 20 texts have some 6,000 words
+
+
+def test_streams_packed_together_are_those_packed_alone():
+    rng = np.random.default_rng(4)
+    streams = [(2 ** rng.uniform(0, 32, n)).astype(np.uint32) for n in (1, 0, 4, 5, 300, 3)]
+    control, data, sizes = token_files.pack_streams(np.concatenate(streams), [len(x) for x in streams])
+    alone = [token_files.pack(x) for x in streams]
+    assert control == b"".join(c for c, _ in alone) and data == b"".join(d for _, d in alone) and sizes.tolist() == [len(d) for _, d in alone]
+    assert token_files.unpack(control, data, [len(x) for x in streams]).tolist() == np.concatenate(streams).tolist()
+
+
 def test_codes_of_any_width():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 999):

@@ -89,7 +89,8 @@ FROM chats"""
 @query
 def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = bpe_codec.encode_texts(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    # a table between the two, so that an executor does not hold workers and batches of both at once
+    tokens = stored(bpe_codec.encode_texts(table(spark, folder, "documents"), path, public_tokenizers.PATTERN), "ids")
     back = bpe_codec.decode_ids(tokens, path, public_tokenizers.PATTERN)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_codec.ids_sha256("ids").alias("ids_sha256"),

@@ -253,3 +253,18 @@ def test_parts_change_no_ids(longest):
 def test_codec_of_no_documents(spark):
     tokens = bpe_codec.encode_texts(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
     assert bpe_codec.decode_ids(tokens, RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_codec_query_holds_one_python_stage_at_a_time(spark, tmp_path):
+    """Encoding and decoding ran in one stage, so each core had two workers and their batches."""
+    from scorewatch.llm.queries import op10_bpe_codec
+
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_bpe_codec(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    codec = bpe_codec.encoding(RANKS, public_tokenizers.PATTERN)
+    for r in got.collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        assert r["ids_sha256"] == bpe_codec.digest(codec.encode_ordinary(text))
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
